@@ -18,7 +18,7 @@ COLUMNS = 4
 YOMI_PATTERN = r"^[\x{3041}-\x{3096}\x{309D}-\x{309F}\x{30FC}]+[a-z]?\z"
 UNCLEAN_PATTERN = r"[\p{Cc}\x{FFFD}]"
 #: A noncharacter, which text can't hold, stands for the separators outside quotes.
-SPLIT_MARK = "﷐"
+SPLIT_MARK = chr(0xFDD0)
 
 
 def _outside(parts: Column) -> Column:

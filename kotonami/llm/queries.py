@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonami.llm import cooccur, leakage, terms, tokenizer
+from kotonami.llm import cooccur, leakage, lookalike, terms, tokenizer
 from kotonami.runtime import BLANK_CLASS, table
 
 SENTINELS = ("__BOS__", "__EOS__")
@@ -24,6 +24,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_terms(spark, sf_dir).where("mark is not null").select("source_table", "term", "mark")
 
 
+def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's surface and reading in the dictionary's form."""
+    return lookalike.canonical_values(table(spark, sf_dir, "word_node"), ["sent_id", "node_idx"], "surface", "yomi").select("sent_id", "node_idx", "surface_form", F.col("reading_form").alias("yomi_form")).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that aren't in the dictionary's form."""
+    rows = lookalike.canonical_values(table(spark, sf_dir, "word_node"), ["sent_id", "node_idx"], "surface", "yomi")
+    wrong = F.filter(F.array(F.when(F.col("surface") != F.col("surface_form"), "surface"), F.when(F.col("reading") != F.col("reading_form"), "yomi")), lambda x: x.isNotNull())
+    return rows.select("sent_id", "node_idx", F.explode(wrong).alias("field_name")).distinct()
+
+
 def _lattice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "word_node")
     items = nodes.where(~F.col("auto_generated") & F.col("surface").isNotNull() & ~F.col("surface").isin(*SENTINELS) & F.col("sent_id").isNotNull())
@@ -66,7 +78,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "surface")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_values": p4_values, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found}
 
 _TERMS = rf"""
 WITH counts AS (

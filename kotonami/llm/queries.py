@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonami.llm import cooccur, leakage, lookalike, terms, tokenizer
+from kotonami.llm import cooccur, encodings, leakage, lookalike, terms, tokenizer
 from kotonami.runtime import BLANK_CLASS, table
 
 SENTINELS = ("__BOS__", "__EOS__")
@@ -36,6 +36,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sent_id", "node_idx", F.explode(wrong).alias("field_name")).distinct()
 
 
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry: whether it is garbled, whether all of it could be recovered, and its candidates after repair."""
+    return encodings.repaired_records(table(spark, sf_dir, "dict_decoded"), "decoded_id", "dict_id", "surfaces")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of which a candidate or note is garbled."""
+    return p5_records(spark, sf_dir).where("garbled").select("decoded_id").distinct()
+
+
 def _lattice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "word_node")
     items = nodes.where(~F.col("auto_generated") & F.col("surface").isNotNull() & ~F.col("surface").isin(*SENTINELS) & F.col("sent_id").isNotNull())
@@ -78,7 +88,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "surface")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_values": p4_values, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found}
 
 _TERMS = rf"""
 WITH counts AS (

@@ -15,8 +15,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import log
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kotonami.runtime import cut_lineage
@@ -37,6 +39,8 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
 }
 #: A word is known if it makes up this share of all items; so there are at most 1 / share such words.
 WORD_SHARE = 1e-4
+#: Shares of no more (source, field) than this are broadcast, of about 100 bytes each.
+BROADCAST_SOURCES = 50_000
 LOST = chr(0xFFFD)
 _LOST_COST, _BROKEN_COST, _END_COST = log(2e-3), log(1e-9), log(1e-5)
 _FAR = log(1e8)
@@ -186,24 +190,40 @@ def chain_posteriors(items: DataFrame, rounds: int = 4, prior: float = 4.0) -> D
 
     kind = items.schema["source"].dataType.simpleString()
     scored = cut_lineage(counts.mapInArrow(score, f"source {kind}, field STRING, item STRING, n BIGINT, ll ARRAY<DOUBLE>"))
-    start = [0.9] + [0.1 / (len(names) - 1)] * (len(names) - 1)
-    shares = scored.select(F.col("source").alias("s"), F.col("field").alias("f")).distinct().withColumn("share", F.array(*[F.lit(x) for x in start]))
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f"))
+    start = np.array([0.9] + [0.1 / (len(names) - 1)] * (len(names) - 1))
+    shares = scored.select(F.col("source").alias("s"), F.col("field").alias("f")).distinct().select("s", "f", F.array(*[F.lit(float(x)) for x in start]).alias("share"))
+    small = shares.count() <= BROADCAST_SOURCES
+
+    def with_shares(now: DataFrame) -> DataFrame:
+        return scored.join(F.broadcast(now) if small else now, F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f"))).drop("s", "f")
+
+    def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                sums = pd.DataFrame(posterior(pdf) * pdf.n.to_numpy(float)[:, None]).groupby([pdf.source, pdf.field], dropna=False).sum()
+                yield sums.rename_axis(["s", "f"]).set_axis([f"t{k}" for k in range(len(names))], axis=1).reset_index()
+
     for _ in range(rounds):
-        posts = scored.join(shares, same).select("source", "field", "n", _posterior(F.col("ll"), F.col("share")).alias("post"))
-        sums = posts.groupBy("source", "field").agg(F.sum("n").alias("total"), *[F.sum(F.col("post")[i] * F.col("n")).alias(f"s{i}") for i in range(len(names))])
-        shares = sums.select(F.col("source").alias("s"), F.col("field").alias("f"), F.array(*[(F.col(f"s{i}") + prior * start[i]) / (F.col("total") + prior) for i in range(len(names))]).alias("share"))
-    last = scored.join(shares, same).select("source", "field", "item", _posterior(F.col("ll"), F.col("share")).alias("post"))
-    garbled = F.slice("post", 2, len(names) - 1)
-    best = F.element_at(F.array(*[F.lit(n) for n in names[1:]]), F.array_position(garbled, F.array_max(garbled)).cast("int"))
-    p_sound = F.col("post")[0]
-    return last.select("source", "field", "item", F.when(p_sound >= 0.5, "sound").otherwise(best).alias("chain"), p_sound.alias("p_sound"))
+        parts = with_shares(shares).mapInPandas(expected, f"s {kind}, f STRING, " + ", ".join(f"t{k} DOUBLE" for k in range(len(names))))
+        sums = parts.groupBy("s", "f").agg(*[(F.sum(f"t{k}") + float(prior * start[k])).alias(f"t{k}") for k in range(len(names))])
+        total = sum((F.col(f"t{k}") for k in range(1, len(names))), F.col("t0"))
+        shares = cut_lineage(sums.withColumn("total", total).select("s", "f", F.array(*[F.col(f"t{k}") / F.col("total") for k in range(len(names))]).alias("share")))
 
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                p = posterior(pdf)
+                chain = np.where(p[:, 0] >= 0.5, 0, p[:, 1:].argmax(1) + 1)
+                yield pdf[["source", "field", "item"]].assign(chain=[names[c] for c in chain], p_sound=p[:, 0])
 
-def _posterior(ll: Column, share: Column) -> Column:
-    joint = F.zip_with(ll, share, lambda a, s: a + F.log(s))
-    weight = F.transform(joint, lambda x: F.exp(x - F.array_max(joint)))
-    return F.transform(weight, lambda w: w / F.aggregate(weight, F.lit(0.0), lambda a, x: a + x))
+    return with_shares(shares).mapInPandas(judge, f"source {kind}, field STRING, item STRING, chain STRING, p_sound DOUBLE")
+
+
+def posterior(pdf: pd.DataFrame) -> np.ndarray:
+    """Posterior of every chain (columns) for every row, of its likelihoods `ll` and shares `share`."""
+    joint = np.stack(pdf.ll.to_list()) + np.log(np.stack(pdf.share.to_list()))
+    weight = np.exp(joint - joint.max(1, keepdims=True))
+    return weight / weight.sum(1, keepdims=True)
 
 
 def repaired_records(df: DataFrame, key: str, source: str, packed: str) -> DataFrame:
@@ -218,9 +238,7 @@ def repaired_records(df: DataFrame, key: str, source: str, packed: str) -> DataF
     bad = judged.where("chain <> 'sound'")
 
     @F.pandas_udf("string")
-    def mend(batches: Iterator[tuple]) -> Iterator:
-        import pandas as pd
-
+    def mend(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for item, chain in batches:
             yield pd.Series([repaired(i, c) for i, c in zip(item, chain)], dtype=object)
 

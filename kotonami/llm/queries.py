@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonami.llm import cooccur, encodings, leakage, lookalike, terms, tokenizer
+from kotonami.llm import cooccur, encodings, leakage, lookalike, pii, terms, tokenizer
 from kotonami.runtime import BLANK_CLASS, table
 
 SENTINELS = ("__BOS__", "__EOS__")
@@ -88,7 +88,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "surface")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of personal information, by kind and position."""
+    return pii.mentions(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders for personal information."""
+    return pii.redacted_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 _TERMS = rf"""
 WITH counts AS (

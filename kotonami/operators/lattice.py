@@ -67,6 +67,10 @@ def segments(readings: DataFrame, keys: DataFrame, max_length: int | None = None
     return both.mapInPandas(walk, f"sent_id {kind}, start_pos INT, end_pos INT, yomi STRING")
 
 
+def _tagged(surfaces: Column, branch: int) -> Column:
+    return F.transform(surfaces, lambda x: F.struct(x.alias("surface"), F.lit(branch).alias("branch")))
+
+
 def nodes(segs: DataFrame, dictionary: DataFrame, user: DataFrame | None = None, single: DataFrame | None = None) -> DataFrame:
     """(sent_id, node_idx, start_pos, end_pos, surface, yomi, auto_generated) of segments.
 
@@ -88,7 +92,7 @@ def nodes(segs: DataFrame, dictionary: DataFrame, user: DataFrame | None = None,
     auto = F.filter(F.array(F.col("yomi"), hira2kata(F.col("yomi"))), lambda x: ~F.array_contains(known, x))
     number = F.when(F.col("yomi").rlike("^[0-9]+"), F.array(F.lit("(*(*(NUMBER-KANSUJI"))).otherwise(none)
     lone = F.when((F.col("start_pos") == 0) & (F.col("end_pos") == F.col("length")), F.coalesce("s", none)).otherwise(none)
-    tagged = [F.transform(a, lambda x, b=b: F.struct(x.alias("surface"), F.lit(b).alias("branch"))) for b, a in enumerate((d, own, auto, number, lone))]
+    tagged = [_tagged(a, b) for b, a in enumerate((d, own, auto, number, lone))]
     rows = joined.select("sent_id", "start_pos", "end_pos", "yomi", F.posexplode(F.concat(*tagged)).alias("pos", "x"))
     body = rows.select("sent_id", "start_pos", "end_pos", "yomi", F.col("x.surface").alias("surface"), (F.col("x.branch") == 2).alias("auto_generated"), "pos")
     ends = whole.select("sent_id", F.explode(F.array(*[F.struct(a.cast("int").alias("start_pos"), b.cast("int").alias("end_pos"), F.lit(n).alias("yomi"), F.lit(n).alias("surface"), F.lit(False).alias("auto_generated"), F.lit(0).alias("pos")) for n, a, b in ((BOS, F.lit(-1), F.lit(0)), (EOS, F.col("length"), F.col("length") + 1))])).alias("e"))

@@ -8,6 +8,7 @@ import os
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +61,6 @@ def read_novels(spark: SparkSession, folder: str, charset: str = "Shift_JIS") ->
 
 def decoded_files(spark: SparkSession, folder: str, charset: str) -> DataFrame:
     """(path, text) of whole files; bytes that `charset` lacks become U+FFFD."""
-    import pandas as pd
-
     codec = charset
 
     @F.pandas_udf("string")

@@ -92,16 +92,12 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
     return np.array([erfc(v / np.sqrt(2)) / 2 for v in z])
 
 
-def _pairs_in(members: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members(rec, item, n_item) -> (pairs of ordinary records, members of crowded ones, sizes)."""
-    sizes = members.groupBy("rec").agg(F.count("*").alias("size"))
-    crowded = sizes.where(F.col("size") > crowd).select("rec")
-    ordinary = sizes.where((F.col("size") > 1) & (F.col("size") <= crowd)).select("rec")
-    baskets = members.join(ordinary, "rec", "left_semi").groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("item", "n_item"))).alias("b"))
+def _pairs_of(members: DataFrame) -> DataFrame:
+    """(item_a, item_b, n_ab, n_a, n_b) of members (rec, item, n_item), each record's pairs listed from its sorted items."""
+    baskets = members.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("item", "n_item"))).alias("b")).where(F.size("b") > 1)
     firsts = baskets.select(F.posexplode("b").alias("p", "a"), "b")
     pairs = firsts.select("a", F.explode(F.expr("slice(b, p + 2, size(b))")).alias("c"))
-    counts = pairs.groupBy(F.col("a.item").alias("item_a"), F.col("c.item").alias("item_b")).agg(F.count("*").alias("n_ab"), F.first("a.n_item").alias("n_a"), F.first("c.n_item").alias("n_b"))
-    return counts, members.join(crowded, "rec", "left_semi"), sizes
+    return pairs.groupBy(F.col("a.item").alias("item_a"), F.col("c.item").alias("item_b")).agg(F.count("*").alias("n_ab"), F.first("a.n_item").alias("n_a"), F.first("c.n_item").alias("n_b"))
 
 
 def _with_crowded(counts: DataFrame, crowded: DataFrame, least: int, blocks: int = 64) -> DataFrame:
@@ -129,10 +125,12 @@ def basket_pairs(items: DataFrame, total: DataFrame, least: int = 5, lift: int =
     """
     n = items.groupBy("item").agg(F.count("*").alias("n_item"))
     kept = n.where(F.col("n_item") >= least).withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").where(F.col("n_item") * lift <= F.col("total")).select("item", "n_item")
-    members = cut_lineage(items.join(kept, "item"))
-    counts, crowded, _ = _pairs_in(members, crowd)
-    if not crowded.isEmpty():
-        counts = _with_crowded(counts, crowded, least)
+    members = items.join(kept, "item")
+    sizes = members.groupBy("rec").agg(F.count("*").alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) <= crowd:
+        return _enough(_pairs_of(members), total, least, lift)
+    members, sizes = cut_lineage(members), cut_lineage(sizes.where(F.col("size") > crowd).select("rec"))
+    counts = _with_crowded(_pairs_of(members.join(sizes, "rec", "left_anti")), members.join(sizes, "rec", "left_semi"), least)
     return _enough(counts, total, least, lift)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonami.llm import cooccur, encodings, leakage, lookalike, pii, terms, tokenizer
-from kotonami.runtime import BLANK_CLASS, table
+from kotonami.runtime import BLANK_CLASS, cut_lineage, table
 
 SENTINELS = ("__BOS__", "__EOS__")
 
@@ -49,7 +49,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lattice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "word_node")
     items = nodes.where(~F.col("auto_generated") & F.col("surface").isNotNull() & ~F.col("surface").isin(*SENTINELS) & F.col("sent_id").isNotNull())
-    items = items.select(F.col("sent_id").alias("rec"), F.col("surface").alias("item")).distinct()
+    items = cut_lineage(items.select(F.col("sent_id").alias("rec"), F.col("surface").alias("item")).distinct())
     return cooccur.surprise(cooccur.basket_pairs(items, nodes.select(F.count_distinct("sent_id").alias("total"))), items)
 
 
@@ -57,7 +57,8 @@ def _user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = table(spark, sf_dir, "user_bigram")
     words = F.split("word_key", "\t", -1)
     keys = saved.where(F.col("user_id").isNotNull() & (F.size(words) == 2)).select(F.col("user_id").alias("rec"), words[0].alias("x"), words[1].alias("y")).distinct()
-    items = keys.select("rec", F.explode(F.array("x", "y")).alias("item")).distinct()
+    keys = cut_lineage(keys)
+    items = cut_lineage(keys.select("rec", F.explode(F.array("x", "y")).alias("item")).distinct())
     links = keys.where("x <> y").select("rec", F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()
     return cooccur.surprise(cooccur.keyed_pairs(links, items, saved.select(F.count_distinct("user_id").alias("total"))), items)
 

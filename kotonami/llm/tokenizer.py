@@ -38,6 +38,7 @@ class BpeTransducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self.keys: list[tuple[int, bytes]] = [(-1, b"")]
+        self.trees: list[list[tuple[int, int] | None]] = [[(-1, -1)]]  # by state: the last token of each prefix of its pending bytes
         self.byte_moves: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
         self.moves: list[dict[str, tuple[int, tuple[int, ...], dict]]] = [{}]  # by state: character -> state, ids, that state's moves
         self.n_moves = 0
@@ -69,21 +70,17 @@ class BpeTransducer:
             known = self.pairs[a, b] = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
         return known
 
-    def _tree(self, last: int, pending: bytes) -> list[tuple[int, int] | None]:
-        """(start, token) of the last token of every prefix of `pending` after the settled token `last`.
+    def _last(self, pending: bytes, tree: list[tuple[int, int] | None]) -> tuple[int, int] | None:
+        """(start, token) of the last token of `pending`, given those of its shorter prefixes.
 
         None where that token would begin before `pending`; no longer token reaches on from such a prefix.
         """
-        tree: list[tuple[int, int] | None] = [(-1, last)]
-        for end in range(1, len(pending) + 1):
-            for start in range(end):  # the longest first
-                token = self.ranks.get(pending[start:end])
-                if token is not None and tree[start] is not None and self.fits(tree[start][1], token) and self._whole(token):
-                    tree.append((start, token))
-                    break
-            else:
-                tree.append(None)
-        return tree
+        for start in range(len(pending)):  # the longest first
+            if tree[start] is not None:
+                token = self.ranks.get(pending[start:])
+                if token is not None and self.fits(tree[start][1], token) and self._whole(token):
+                    return start, token
+        return None
 
     @functools.lru_cache(maxsize=None)  # noqa: B019 - one object lives as long as its worker
     def _whole(self, token: int) -> bool:
@@ -92,11 +89,14 @@ class BpeTransducer:
 
     # -- the transducer -----------------------------------------------------------------
 
-    def _state(self, key: tuple[int, bytes]) -> int:
+    def _state(self, last: int, pending: bytes, tree: list[tuple[int, int] | None], settled: int) -> int:
+        """The state of the bytes of `pending` after `settled`, with what is known of their prefixes."""
+        key = last, pending[settled:]
         number = self.states.get(key)
         if number is None:
             number = self.states[key] = len(self.keys)
             self.keys.append(key)
+            self.trees.append([(-1, last)] + [(t[0] - settled, t[1]) if t is not None and t[0] >= settled else None for t in tree[settled + 1 :]])
             self.moves.append({})
         return number
 
@@ -105,7 +105,8 @@ class BpeTransducer:
         if found is None:
             last, pending = self.keys[state]
             pending += bytes((byte,))
-            tree = self._tree(last, pending)
+            tree = self.trees[state] + [None]
+            tree[-1] = self._last(pending, tree)
             alive = [len(pending)] + [j for j in range(len(pending)) if pending[j:] in self.proper]
             paths = []
             for j in alive:
@@ -123,7 +124,7 @@ class BpeTransducer:
             while j > 0:
                 out.append(tree[j][1])
                 j = tree[j][0]
-            found = self.byte_moves[state, byte] = (self._state((out[0] if out else last, pending[settled:])), tuple(out[::-1]))
+            found = self.byte_moves[state, byte] = (self._state(out[0] if out else last, pending, tree, settled), tuple(out[::-1]))
         return found
 
     def _on_char(self, state: int, ch: str) -> tuple[int, tuple[int, ...], dict]:
@@ -137,8 +138,7 @@ class BpeTransducer:
         return move
 
     def _on_end(self, state: int) -> tuple[int, ...]:
-        last, pending = self.keys[state]
-        tree, out, j = self._tree(last, pending), [], len(pending)
+        tree, out, j = self.trees[state], [], len(self.keys[state][1])
         while j > 0:
             out.append(tree[j][1])
             j = tree[j][0]
@@ -147,7 +147,7 @@ class BpeTransducer:
 
     def _forget(self) -> None:
         """Drop the kept moves when they outgrow their bound; they are found again when needed."""
-        self.states, self.keys = {(-1, b""): 0}, [(-1, b"")]
+        self.states, self.keys, self.trees = {(-1, b""): 0}, [(-1, b"")], [[(-1, -1)]]
         self.byte_moves, self.moves, self.n_moves, self.ends, self.short, self.pairs = {}, [{}], 0, {}, {}, {}
 
     def word(self, word: str) -> tuple[int, ...]:

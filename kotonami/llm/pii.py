@@ -135,7 +135,12 @@ WEAK_NAMES = [
     re.compile(rf"(?<![A-Za-z@./_-])({_LATIN_NAME})(?![A-Za-z@_-])"),
     re.compile(rf"(?<![一-鿿々ァ-ヶーぁ-ん])({_KANJI_NAME}|{_KANA_NAME})(?=[（(<,、。 \n]|は|が|の|と|に|へ|も|です|{_HONORIFIC}|$)"),
 ]
-COMPANY = re.compile(r"株式会社|有限会社|合同会社|製作所|商事|商店|工業|銀行|大学|\bInc\b|\bLtd\b|\bCo\.|\bLLC\b|\bGmbH\b|\bCorp")
+#: For each name context words of which a text must have one; most texts skip most patterns.
+NAME_TRIGGERS = [re.compile(t) for t in (
+    "氏名|名前|担当|登録名|差出人|送信者|宛名|受取人|名義|署名|申請者", "と申します", "宛[でに]", "さん|様|さま|氏|先生|ちゃん|くん|君|殿", "昨日、", "に移り", "お世話に|はじめまして|いつも使って|こんにちは", "です",
+    "[Aa]ccording to|[Tt]hanks to|eported by|igned by|Regards|incerely|Cheers|Dear|I am|I'm|y name is|From:|uthor:|ontact|I wrote to|Mail|Ask|Call", "Thanks to", "Thanks to", "According to|Reported by", "\\b(?:Mr|Ms|Mrs|Miss|Dr|Prof)\\b", "said the same", "Regards|Sincerely|Best|Cheers|Thanks", "--",
+)]
+_BLOCK_TRIGGER = re.compile("丁目|番|号|[0-9]-[0-9]")
 _COMPANY_BEFORE = re.compile(r"(?:株式会社|有限会社|合同会社) ?$")
 _COMPANY_AFTER = re.compile(r" ?(?:製作所|商事|商店|工業|銀行|大学|株式会社|有限会社|市|町|村|区|駅|県|郡|Inc\b|Ltd\b|Co\.|LLC\b|Corp|Works\b|Park\b|パーク|ホール|Hall\b|ビル)")
 _NOT_NAMES = re.compile(r"^(?:お客|皆|神|王|奥|仏|殿|各位|担当|弊社|御社|貴社)")
@@ -153,9 +158,8 @@ class Finder:
 
     def __init__(self, lexicon: dict[str, int] | None = None):
         self.lexicon = lexicon or {}
-        # kanji names often stand without a blank: the whole run is family and given name
-        self.families = sorted({p for p in self.lexicon if not p.isascii()}, key=len, reverse=True)
         self.known = set(self.lexicon)
+        self.beginnings = {p[:2].casefold() for p in self.known}
 
     # -- kinds --
 
@@ -195,20 +199,22 @@ class Finder:
             yield Span(m.start(), m.end(), "id_number", score)
 
     def addresses(self, text: str) -> Iterator[Span]:
-        for m in ADDRESS.finditer(text):
+        for m in ADDRESS.finditer(text) if _BLOCK_TRIGGER.search(text) else ():
             strong = "丁目" in m[0] or "番" in m[0] or m[0][0] in "〒0123456789" or re.match(_PREFECTURE, m[0]) or "-" in m[0]
             yield Span(m.start(), m.end(), "address", 1.5 if strong else 0.5)
         for m in STREET.finditer(text):
             yield Span(m.start(), m.end(), "address", 1.4)
 
     def names(self, text: str) -> Iterator[Span]:
-        for pattern, base in NAME_CONTEXTS:
-            for m in pattern.finditer(text):
-                yield from self._name(text, m, base)
+        for (pattern, base), trigger in zip(NAME_CONTEXTS, NAME_TRIGGERS, strict=True):
+            if trigger.search(text):
+                for m in pattern.finditer(text):
+                    yield from self._name(text, m, base)
         if self.known:
             for pattern in WEAK_NAMES:
                 for m in pattern.finditer(text):
-                    yield from self._name(text, m, 0.2, weak=True)
+                    if m[1][:2].casefold() in self.beginnings or m[1][:1] in self.beginnings:
+                        yield from self._name(text, m, 0.2, weak=True)
 
     def _name(self, text: str, m: re.Match, base: float, weak: bool = False) -> Iterator[Span]:
         start, end = m.span(1)

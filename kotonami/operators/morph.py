@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kotonami.operators.ordered import running, with_previous
+from kotonami.operators.ordered import distinct_by_group, is_crowded, running, with_previous
 
 COLUMNS = ["surface", "yomi", "hinshi", "subhinshi", "subsubhinshi"]
 
@@ -25,13 +25,14 @@ def merge_tokens(tokens: DataFrame) -> DataFrame:
     name read け. Exact copies count once; morphemes with a null or blank surface are left
     out, a null reading is the surface.
     """
-    clean = tokens.select("sent_id", "i", *COLUMNS).where(F.col("surface").isNotNull() & F.col("surface").rlike(r"[^\p{Z}\x09-\x0d]")).withColumn("yomi", F.coalesce("yomi", "surface")).distinct()
-    seen = with_previous(clean, "sent_id", "i", COLUMNS)
+    crowded = is_crowded(tokens, "sent_id")
+    clean = tokens.select("sent_id", "i", *COLUMNS).where(F.col("surface").isNotNull() & F.col("surface").rlike(r"[^\p{Z}\x09-\x0d]")).withColumn("yomi", F.coalesce("yomi", "surface"))
+    seen = with_previous(distinct_by_group(clean, "sent_id", crowded), "sent_id", "i", COLUMNS, crowded)
     verb = (F.col("hinshi") == "助動詞") & F.col("prev.hinshi").isin("動詞", "助動詞")
     joins = F.coalesce(F.col("prev").isNotNull() & (F.coalesce(verb, F.lit(False)) | F.coalesce(F.col("subhinshi").isin("接続助詞", "接尾"), F.lit(False))), F.lit(False))
     reading = F.when(joins & F.col("surface").isin("家", "か") & (F.col("prev.subsubhinshi") == "人名"), "け").otherwise(F.col("yomi"))
     marked = seen.select("sent_id", "i", "surface", reading.alias("yomi"), F.when(~joins, F.col("i")).alias("start"))
-    runs = running(marked, "sent_id", "i", F.col("start"), "run", how="max")
-    parts = F.sort_array(F.collect_list(F.struct("i", "surface", "yomi")))
-    words = runs.groupBy("sent_id", "run").agg(parts.alias("p"))
-    return words.select("sent_id", "run", F.concat(F.array_join(F.transform("p", lambda x: x["surface"]), ""), F.lit("/"), F.array_join(F.transform("p", lambda x: x["yomi"]), "")).alias("word"))
+    runs = running(marked, "sent_id", "i", F.col("start"), "run", how="max", crowded=crowded)
+    joined = lambda c: F.expr(f"listagg({c}, '') WITHIN GROUP (ORDER BY i)")
+    words = runs.groupBy("sent_id", "run").agg(joined("surface").alias("s"), joined("yomi").alias("y"))
+    return words.select("sent_id", "run", F.concat("s", F.lit("/"), "y").alias("word"))

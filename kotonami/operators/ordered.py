@@ -1,7 +1,8 @@
 """Running values along long ordered groups, in two levels, so that a crowded group isn't one task.
 
-Rows of a group are cut into chunks of order values. Windows run within chunks; one summary
-row a chunk carries what the next chunks need. Ranks over a whole table come from range
+Where the largest group is small enough for one task, a plain window does, and needs no more
+than one shuffle. Beyond that, rows of a group are cut into chunks of order values: windows run
+within chunks, and one summary row a chunk carries what the next chunks need. Ranks over a whole table come from range
 partitions with offsets, not from one global window.
 """
 
@@ -13,17 +14,32 @@ from pyspark.sql import functions as F
 from kotonami.runtime import cut_lineage
 
 CHUNK = 4096
+#: A group of no more rows than this is one task's work.
+WINDOW_ROWS = 200_000
+
+
+def is_crowded(df: DataFrame, group: str) -> bool:
+    """Whether some group is too large for a plain window; one pass, combined before its shuffle."""
+    largest = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) > WINDOW_ROWS
+
+
+def distinct_by_group(df: DataFrame, group: str, crowded: bool) -> DataFrame:
+    """Distinct rows; already where the group's windows need them, unless a group is crowded."""
+    return df.distinct() if crowded else df.repartition(group).distinct()
 
 
 def _chunked(df: DataFrame, order: str, chunk: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(order) / chunk))
 
 
-def with_previous(df: DataFrame, group: str, order: str, columns: list[str], chunk: int = CHUNK) -> DataFrame:
+def with_previous(df: DataFrame, group: str, order: str, columns: list[str], crowded: bool | None = None, chunk: int = CHUNK) -> DataFrame:
     """`df` with struct `prev` of `columns` of the row before in the group, null for the first.
 
-    Order values are numbers, unique within the group.
+    Order values are numbers, unique within the group. `crowded` is found by counting where it isn't given.
     """
+    if not (is_crowded(df, group) if crowded is None else crowded):
+        return df.withColumn("prev", F.lag(F.struct(*columns)).over(Window.partitionBy(group).orderBy(order)))
     cut = _chunked(df, order, chunk)
     inner = Window.partitionBy(group, "_chunk").orderBy(order)
     mine = cut.withColumn("_in", F.lag(F.struct(*columns)).over(inner)).withColumn("_first", F.row_number().over(inner) == 1)
@@ -33,9 +49,12 @@ def with_previous(df: DataFrame, group: str, order: str, columns: list[str], chu
     return joined.withColumn("prev", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in"))).drop("_chunk", "_in", "_first", "_g", "_c", "_carry")
 
 
-def running(df: DataFrame, group: str, order: str, value: Column, name: str, how: str = "sum", before: bool = False, chunk: int = CHUNK) -> DataFrame:
+def running(df: DataFrame, group: str, order: str, value: Column, name: str, how: str = "sum", before: bool = False, crowded: bool | None = None, chunk: int = CHUNK) -> DataFrame:
     """`df` with the running `how` ('sum' or 'max') of `value` along the group; `before` leaves the row itself out."""
     fold = F.sum if how == "sum" else F.max
+    if not (is_crowded(df, group) if crowded is None else crowded):
+        run = fold(value).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+        return df.withColumn(name, F.coalesce(run, F.lit(0)) if how == "sum" else run)
     cut = _chunked(df.withColumn("_v", value), order, chunk)
     inner = Window.partitionBy(group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     mine = cut.withColumn("_in", fold("_v").over(inner))

@@ -13,7 +13,7 @@ from kotonami.functions.text import DIGITS, GROUPS, PLACES, kansuji, lcs_length
 from kotonami.operators import counts, decode, dictionary, lattice, morph
 from kotonami.operators.badrows import read_records
 from kotonami.operators.costs import totals, with_costs
-from kotonami.operators.ordered import running
+from kotonami.operators.ordered import distinct_by_group, is_crowded, running
 from kotonami.plans.engine import Engine
 from kotonami.runtime import cut_lineage, ensure_checkpoint_dir, table
 from kotonami.sources.readers import novel_lines, wiki_lines
@@ -40,22 +40,23 @@ def kana_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def start_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each morpheme's reading begins in its sentence, in code points and in bytes."""
-    t = table(spark, sf_dir, "intermediate_token").where("surface is not null and yomi is not null").select("sent_id", "i", "yomi").distinct()
-    chars = running(t, "sent_id", "i", F.length("yomi"), "start_pos", before=True)
-    return running(chars, "sent_id", "i", F.octet_length("yomi"), "start_byte", before=True).select("sent_id", "i", F.col("start_pos").cast("bigint").alias("start_pos"), F.col("start_byte").cast("bigint").alias("start_byte"))
+    t = table(spark, sf_dir, "intermediate_token").where("surface is not null and yomi is not null").select("sent_id", "i", "yomi")
+    crowded = is_crowded(t, "sent_id")
+    chars = running(distinct_by_group(t, "sent_id", crowded), "sent_id", "i", F.length("yomi"), "start_pos", before=True, crowded=crowded)
+    return running(chars, "sent_id", "i", F.octet_length("yomi"), "start_byte", before=True, crowded=crowded).select("sent_id", "i", F.col("start_pos").cast("bigint").alias("start_pos"), F.col("start_byte").cast("bigint").alias("start_byte"))
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_merge(spark, sf_dir).where(counts.countable(F.col("word")))
+def _frequencies(merged: DataFrame) -> DataFrame:
+    return counts.word_frequencies(merged.where(counts.countable(F.col("word"))))
 
 
 def wfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each word occurs."""
-    return counts.word_frequencies(_words(spark, sf_dir))
+    return _frequencies(token_merge(spark, sf_dir))
 
 
-def _vocab(spark: SparkSession, sf_dir: str, threshold: int = counts.UNIGRAM_CUT) -> DataFrame:
-    return counts.numbered(counts.vocabulary(wfreq(spark, sf_dir), threshold))
+def _vocab(spark: SparkSession, sf_dir: str, threshold: int = counts.UNIGRAM_CUT, merged: DataFrame | None = None) -> DataFrame:
+    return counts.numbered(counts.vocabulary(wfreq(spark, sf_dir) if merged is None else _frequencies(merged), threshold))
 
 
 def unigram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,26 +70,34 @@ def model_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals(counts.vocabulary(wfreq(spark, sf_dir))).select("total_words", "unique_words", F.round("default_edge_cost", 6).alias("default_edge_cost"))
 
 
-def _bigrams(spark: SparkSession, sf_dir: str, vocab: DataFrame, threshold: int = 0) -> DataFrame:
-    return counts.bigram_counts(token_merge(spark, sf_dir).withColumnRenamed("run", "pos"), vocab, threshold)
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged corpus, written: counts of words and of pairs both read it."""
+    return cut_lineage(token_merge(spark, sf_dir))
+
+
+def _bigrams(merged: DataFrame, vocab: DataFrame, threshold: int = 0) -> DataFrame:
+    return counts.bigram_counts(merged.withColumnRenamed("run", "pos"), vocab, threshold)
 
 
 def bigram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and costs of neighbours in the vocabulary."""
-    pairs = _bigrams(spark, sf_dir, _vocab(spark, sf_dir))
+    merged = _merged(spark, sf_dir)
+    pairs = cut_lineage(_bigrams(merged, _vocab(spark, sf_dir, merged=merged)))
     return with_costs(pairs, totals(pairs)).select("id1", "id2", "cnt", F.round("cost", 6).alias("cost"))
 
 
 def bigram_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent neighbours by word."""
-    vocab = _vocab(spark, sf_dir)
-    return counts.with_words(_bigrams(spark, sf_dir, vocab, counts.UNIGRAM_CUT), vocab).select("cnt", "word1", "word2")
+    merged = _merged(spark, sf_dir)
+    vocab = _vocab(spark, sf_dir, merged=merged)
+    return counts.with_words(_bigrams(merged, vocab, counts.UNIGRAM_CUT), vocab).select("cnt", "word1", "word2")
 
 
 def bigram_rekeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair counts under the ids of a smaller vocabulary."""
-    vocab, small = _vocab(spark, sf_dir), _vocab(spark, sf_dir, 40)
-    return counts.rekeyed(_bigrams(spark, sf_dir, vocab), vocab, small)
+    merged = _merged(spark, sf_dir)
+    vocab, small = _vocab(spark, sf_dir, merged=merged), _vocab(spark, sf_dir, 40, merged)
+    return counts.rekeyed(_bigrams(merged, vocab), vocab, small)
 
 
 def new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,8 +236,9 @@ def lattice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
-    vocab = cut_lineage(_vocab(spark, sf_dir))
-    return Engine(vocab, cut_lineage(_bigrams(spark, sf_dir, vocab)), cut_lineage(_dictionary(spark, sf_dir)))
+    merged = _merged(spark, sf_dir)
+    vocab = cut_lineage(_vocab(spark, sf_dir, merged=merged))
+    return Engine(vocab, cut_lineage(_bigrams(merged, vocab)), cut_lineage(_dictionary(spark, sf_dir)))
 
 
 def eval_converted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,14 @@ def rekeyed(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     ids = old.select("word", F.col("word_id").alias("o")).join(new.select("word", F.col("word_id").alias("n")), "word").select("o", "n")
     other = [c for c in pairs.columns if c not in ("id1", "id2")]
     return pairs.join(ids.toDF("id1", "n1"), "id1").join(ids.toDF("id2", "n2"), "id2").select(F.col("n1").alias("id1"), F.col("n2").alias("id2"), *other)
+
+
+def missing_pairs(pairs: DataFrame, vocab: DataFrame, required: list[tuple[str, str]]) -> DataFrame:
+    """(word1, word2) of pairs that a model must have and lacks, a word of the pair missing included."""
+    need = vocab.sparkSession.createDataFrame(required, "word1 STRING, word2 STRING")
+    return need.join(with_words(pairs, vocab).select("word1", "word2"), ["word1", "word2"], "left_anti")
+
+
+def costs_of(keys: DataFrame, costed: DataFrame, on: list[str]) -> DataFrame:
+    """`keys` with the count and cost that a costed model has for them; null where it has none."""
+    return keys.join(costed.select(*on, "cnt", "cost"), on, "left")

@@ -14,6 +14,7 @@ from kotonami.operators import counts, decode, dictionary, lattice, morph
 from kotonami.operators.badrows import read_records
 from kotonami.operators.costs import totals, with_costs
 from kotonami.operators.ordered import distinct_by_group, is_crowded, running
+from kotonami.operators.tokenize import longest_match
 from kotonami.plans.engine import Engine
 from kotonami.runtime import cut_lineage, ensure_checkpoint_dir, table
 from kotonami.sources.readers import novel_lines, wiki_lines
@@ -300,10 +301,36 @@ def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", lcs_length(F.col("a"), F.col("b")).alias("common"))
 
 
+def unigram_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unigram model as lines 'word id cost'."""
+    return unigram_model(spark, sf_dir).select(F.concat_ws(" ", "word", F.col("word_id").cast("string"), F.format_number("cost", 4)).alias("line"))
+
+
+def bigram_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair model by word: cost and both words."""
+    merged = _merged(spark, sf_dir)
+    vocab = _vocab(spark, sf_dir, merged=merged)
+    pairs = cut_lineage(_bigrams(merged, vocab))
+    return counts.with_words(with_costs(pairs, totals(pairs)), vocab).select(F.round("cost", 6).alias("cost"), "word1", "word2")
+
+
+def passages_tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test passages as longest known words, by the words of the dictionaries."""
+    words = dictionary.to_rows(_dictionary(spark, sf_dir)).select("surface", "yomi")
+    return longest_match(table(spark, sf_dir, "eval_item").select(F.col("item_id").alias("sent_id"), F.col("surface").alias("text")), words)
+
+
+def lattice_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattices as graph descriptions."""
+    nodes = _nodes(spark, sf_dir)
+    none = spark.createDataFrame([], "id1 INT, id2 INT, cost DOUBLE")
+    return lattice.dot_graph(nodes, lattice.edges(nodes, none, 8.0))
+
+
 QUERIES = {f.__name__: f for f in (
     token_merge, kana_preferred, start_offsets, wfreq, unigram_model, model_totals, bigram_model, bigram_words, bigram_rekeyed, new_words, score_rules, wiki_text, novel_text,
     dictionary_merged, dictionary_keys, dictionary_okuri, dictionary_of_vocabulary, dictionary_violations, dictionary_prefixes, dictionary_predictions, eval_segments, eval_nodes,
-    node_costs, lattice_edges, span_alternatives, lattice_decoded, lattice_pages, eval_converted, eval_scores, user_unigram_costs, user_bigram_costs, streaming_user_counts, kansuji_numbers, word_overlap,
+    node_costs, lattice_edges, span_alternatives, lattice_decoded, lattice_pages, eval_converted, eval_scores, user_unigram_costs, user_bigram_costs, streaming_user_counts, kansuji_numbers, word_overlap, unigram_dump, bigram_dump, passages_tokenized, lattice_graphs,
 )}
 
 # -- SQL -----------------------------------------------------------------------------------
@@ -411,5 +438,9 @@ SQL = {
     "user_unigram_costs": f"WITH g AS {_GAINS.format('user_unigram')}, s AS (SELECT CAST(sum(cnt) AS BIGINT) AS t, count(*) AS u FROM g) SELECT word_key, cnt, round({_cost('cnt')}, 6) AS cost FROM g, s",
     "user_bigram_costs": f"WITH g AS {_GAINS.format('user_bigram')}, s AS (SELECT CAST(sum(cnt) AS BIGINT) AS t, count(*) AS u FROM g) SELECT word_key, cnt, round({_cost('cnt')}, 6) AS cost FROM g, s",
     "streaming_user_counts": f"SELECT * FROM {_GAINS.format('user_unigram')} g",
+    "bigram_dump": f"WITH {_BIGRAMS} SELECT round({_cost('cnt')}, 6) AS cost, word1, word2 FROM big, bstats",
+    "lattice_graphs": f"""WITH n AS {_NODES}, l AS (SELECT sent_id, 0 AS k, node_idx AS o, format('n{{}} [label="{{}}/{{}}"]', node_idx, surface, yomi) AS line FROM n UNION ALL
+  SELECT a.sent_id, 1, a.node_idx, format('n{{}} -> n{{}} [label="8.000"]', a.node_idx, b.node_idx) FROM n a JOIN n b ON a.sent_id = b.sent_id AND a.end_pos = b.start_pos AND a.node_idx <> b.node_idx)
+  SELECT sent_id, 'digraph lattice {{' || chr(10) || string_agg(line, chr(10) ORDER BY k, o, encode(line)) || chr(10) || '}}' AS dot FROM l GROUP BY sent_id""",
     "kansuji_numbers": _kansuji_sql(),
 }

@@ -57,3 +57,15 @@ def write_tokens(sentences: DataFrame, path: str) -> None:
 def write_user_stats(counts: DataFrame, path: str) -> None:
     """Lines 'key count'."""
     counts.select(F.concat_ws(" ", "key", F.col("cnt").cast("string"))).write.mode("overwrite").text(path)
+
+
+def write_by_source(rows: DataFrame, source: str, path: str) -> None:
+    """Rows in a folder for each source that they come from; two files of one name stay apart."""
+    rows.withColumn("source_key", F.regexp_replace(source, "[^A-Za-z0-9_.-]", "_")).write.mode("overwrite").partitionBy("source_key").parquet(path)
+
+
+def snapshot(rows: DataFrame, folder: str, name: str, stamp: str) -> str:
+    """A copy beside the others of its name; gives its path."""
+    at = f"{folder}/{stamp}-{name}"
+    rows.write.mode("error").parquet(at)
+    return at

@@ -64,3 +64,35 @@ def test_sinks(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "skk")).collect()] == [";; okuri-ari entries.", ";; okuri-nasi entries.", "あ /亜/", "い /胃/井/"]
     sinks.write_model(str(tmp_path / "m"), wf, wf, totals(wf))
     assert sinks.read_model(spark, str(tmp_path / "m"))[2].first()["total_words"] == 19
+
+
+def test_skk_source(spark, tmp_path):
+    from kotonami.operators.dictionary import parse_lines
+    from kotonami.sources.skk_source import SkkSource
+
+    (tmp_path / "a").write_bytes(";; okuri-nasi entries.\r\nご /語/\n".encode("euc_jp"))
+    spark.dataSource.register(SkkSource)
+    lines = spark.read.format("skk").option("encoding", "euc_jp").load(str(tmp_path / "a"))
+    assert rows(parse_lines(lines).select("section", "yomi", "surfaces")) == [("nasi", "ご", ["語"])]
+
+
+def test_longest_match(spark):
+    from kotonami.operators.tokenize import TOKENIZERS
+
+    texts = spark.createDataFrame([(1, "東京都に"), (2, ""), (3, None), (4, "xy")], "sent_id INT, text STRING")
+    words = spark.createDataFrame([("東", "ひがし"), ("東京", "とうきょう"), ("京都", "きょうと"), ("に", "に")], "surface STRING, yomi STRING")
+    assert rows(TOKENIZERS["longest_match"](texts, words)) == [(1, 0, "東京", "とうきょう"), (1, 1, "都", "都"), (1, 2, "に", "に"), (4, 0, "x", "x"), (4, 1, "y", "y")]
+
+
+def test_model_checks(spark):
+    from kotonami.operators.counts import costs_of, missing_pairs, numbered
+    from kotonami.operators.dictionary import missing_keys
+
+    vocab = spark.createDataFrame([("a/a", 0, 3), ("b/b", 1, 4)], "word STRING, word_id INT, cnt BIGINT")
+    pairs = spark.createDataFrame([(0, 1, 2)], "id1 INT, id2 INT, cnt BIGINT")
+    assert rows(missing_pairs(pairs, vocab, [("a/a", "b/b"), ("b/b", "a/a"), ("a/a", "c/c")])) == [("a/a", "c/c"), ("b/b", "a/a")]
+    got = costs_of(spark.createDataFrame([("a/a",), ("z/z",)], "word STRING"), with_costs(vocab, totals(vocab)), ["word"])
+    assert [(r["word"], r["cnt"]) for r in got.orderBy("word").collect()] == [("a/a", 3), ("z/z", None)]
+    assert rows(missing_keys(spark.createDataFrame([("い", ["胃"])], "yomi STRING, surfaces ARRAY<STRING>"), ["い", "ろ"])) == [("ろ",)]
+    with pytest.raises(Exception, match="vocabulary too large"):
+        numbered(vocab.select("word", "cnt"), limit=1).collect()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kotonami.runtime import is_blank
+from kotonami.runtime import BLANK_CLASS, is_blank
 
 #: The record: yomi, surfaces, hinshi, cnt; and the raw text of a record that can't be read so.
 RECORD_SCHEMA = "yomi STRING, surfaces STRING, hinshi STRING, cnt BIGINT, corrupt STRING"
@@ -52,11 +52,15 @@ def own_fields(parts: Column) -> Column:
 
 def candidates(surfaces: Column) -> Column:
     """Non-blank candidates between slashes, notes from `;` on dropped; the final slash may be missing."""
-    items = F.slice(F.split(surfaces, "/", -1), 2, F.greatest(F.size(F.split(surfaces, "/", -1)) - 1, F.lit(0)))
+    items = F.when(surfaces.contains("/"), F.split(F.regexp_replace(surfaces, r"\A[^/]*/", ""), "/", -1)).otherwise(F.array().cast("array<string>"))
     bare = F.transform(items, lambda x: F.substring_index(x, ";", 1))
     return F.filter(bare, lambda x: ~is_blank(x))
 
 
+#: A slash, and behind it, before any note or slash, a character that isn't blank.
+CANDIDATE_PATTERN = rf"/[^;/]*[^;/{BLANK_CLASS}]"
+
+
 def read_records(df: DataFrame, line: str, keys: list[str]) -> DataFrame:
     """(keys, raw, yomi, candidates, hinshi, cnt, reason) of every record in `line`.
 
@@ -71,13 +75,13 @@ def read_records(df: DataFrame, line: str, keys: list[str]) -> DataFrame:
     raw = raw.select(*ks, F.regexp_replace("line", r"\r\z", "").alias("raw"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "sep": ",", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
     read = raw.select(*ks, "raw", F.from_csv("raw", RECORD_SCHEMA, options).alias("r"), F.split("raw", '"', -1).alias("parts"))
-    commas = F.array_join(_outside(F.col("parts")), "")
+    commas = F.when(F.col("raw").contains('"'), F.array_join(_outside(F.col("parts")), "")).otherwise(F.col("raw"))
     again = F.col("r.corrupt").isNotNull() | F.col("r.yomi").isNull() | F.col("r.surfaces").isNull() | F.col("raw").rlike(UNCLEAN_PATTERN)
     read = read.select(
         *ks,
         "raw",
         "r",
-        quoting_fails(F.col("parts")).alias("bad_quoting"),
+        F.when(F.col("raw").contains('"'), quoting_fails(F.col("parts"))).otherwise(False).alias("bad_quoting"),
         (F.length(commas) - F.length(F.replace(commas, F.lit(","), F.lit(""))) + 1).alias("n_columns"),
         F.when(again, own_fields(F.col("parts"))).alias("own"),
     )
@@ -87,7 +91,7 @@ def read_records(df: DataFrame, line: str, keys: list[str]) -> DataFrame:
         F.when(F.col("bad_quoting"), "quoting")
         .when(F.col("n_columns") != COLUMNS, "columns")
         .when(~F.coalesce(F.col("y"), F.lit("")).rlike(YOMI_PATTERN), "yomi")
-        .when(F.coalesce(F.col("s"), F.lit("")).rlike(UNCLEAN_PATTERN) | (F.size(candidates(F.coalesce(F.col("s"), F.lit("")))) == 0), "surfaces")
+        .when(F.coalesce(F.col("s"), F.lit("")).rlike(UNCLEAN_PATTERN) | ~F.coalesce(F.col("s"), F.lit("")).rlike(CANDIDATE_PATTERN), "surfaces")
     )
     read = read.withColumn("reason", reason)
     ok = F.col("reason").isNull()

@@ -18,7 +18,7 @@ from math import log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonami.runtime import cut_lineage
@@ -153,16 +153,12 @@ def repaired(item: str, chain: str) -> str | None:
     return text
 
 
-def packed_items(df: DataFrame, key: str, source: str, packed: str) -> DataFrame:
-    """(key, source, pos, field, item): candidates between slashes, and their notes after `;`."""
-    rows = df.select(df[key].alias("key"), df[source].alias("source"), df[packed].alias("packed")).where("packed is not null and packed <> ''").distinct()
-    parts = rows.select("key", "source", "packed", F.posexplode(F.split("packed", "/", -1)).alias("pos", "part"))
-    note = F.locate(";", F.col("part"))
-    fields = F.array(
-        F.struct(F.lit("candidate").alias("field"), F.substring_index("part", ";", 1).alias("item")),
-        F.struct(F.lit("note").alias("field"), F.when(note > 0, F.expr("substring(part, locate(';', part) + 1)")).alias("item")),
-    )
-    return parts.select("key", "source", "packed", "pos", F.explode(fields).alias("f")).select("key", "source", "packed", "pos", "f.field", "f.item").where("item is not null and item <> ''")
+def packed_items(rows: DataFrame) -> DataFrame:
+    """(key, h, source, pos, field, item) of rows (key, h, source, packed): candidates between slashes, and their notes after `;`."""
+    parts = rows.select("key", "h", "source", F.posexplode(F.split("packed", "/", -1)).alias("pos", "part"))
+    note = F.when(F.col("part").contains(";"), F.expr("substring(part, locate(';', part) + 1)"))
+    fields = F.array(F.struct(F.lit("candidate").alias("field"), F.substring_index("part", ";", 1).alias("item")), F.struct(F.lit("note").alias("field"), note.alias("item")))
+    return parts.select("key", "h", "source", "pos", F.explode(fields).alias("f")).select("key", "h", "source", "pos", "f.field", "f.item").where("item is not null and item <> ''")
 
 
 def _common_words(counts: DataFrame) -> dict[str, float]:
@@ -233,27 +229,32 @@ def repaired_records(df: DataFrame, key: str, source: str, packed: str) -> DataF
     loss; `repaired`: the field with these restored and the others as they are. Null and empty
     fields give no row; rows that are alike give one, rows with other fields under one key each their own.
     """
-    items = packed_items(df, key, source, packed)
-    judged = chain_posteriors(items)
-    bad = judged.where("chain <> 'sound'")
+    rows = df.select(df[key].alias("key"), df[source].alias("source"), df[packed].alias("packed")).where("packed is not null and packed <> ''").distinct()
+    rows = rows.withColumn("h", F.xxhash64("source", "packed"))  # tells apart the fields under one key
+    items = packed_items(rows)
+    bad = chain_posteriors(items).where("chain <> 'sound'")
 
     @F.pandas_udf("string")
     def mend(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for item, chain in batches:
             yield pd.Series([repaired(i, c) for i, c in zip(item, chain)], dtype=object)
 
-    bad = bad.select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("item").alias("i"), "chain", mend("item", "chain").alias("mended"))
-    joined = items.join(bad, F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("item") == F.col("i")), "left").select(
-        "key", "packed", "pos", "field", F.col("chain").isNotNull().alias("hit"), F.coalesce("mended", "item").alias("now"), (F.col("chain").isNotNull() & F.col("mended").isNull()).alias("lost")
-    )
-    parts = joined.groupBy("key", "packed", "pos").agg(
-        F.max("hit").alias("hit"), F.max("lost").alias("lost"), F.max(F.when(F.col("field") == "candidate", F.col("now"))).alias("c"), F.max(F.when(F.col("field") == "note", F.col("now"))).alias("m")
-    )
-    text = F.concat(F.coalesce("c", F.lit("")), F.when(F.col("m").isNotNull(), F.concat(F.lit(";"), F.col("m"))).otherwise(""))
-    whole = parts.groupBy("key", "packed").agg(F.max("hit").alias("garbled"), F.max("lost").alias("lost"), F.sort_array(F.collect_list(F.struct("pos", text.alias("t")))).alias("ps"))
-    return whole.select(
+    bad = bad.select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("item").alias("i"), mend("item", "chain").alias("mended"))
+    hits = items.join(bad, F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("item") == F.col("i")))
+    # only garbled items travel on; each record's list is no longer than the record
+    lists = hits.groupBy(F.col("key").alias("k"), F.col("h").alias("g")).agg(F.max(F.col("mended").isNull()).alias("lost"), F.collect_list(F.struct("pos", "field", F.coalesce("mended", "item").alias("now"))).alias("now"))
+    both = rows.join(lists, F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("g")), "left")
+    garbled = F.col("lost").isNotNull()
+
+    def part(text: Column, pos: Column) -> Column:
+        here = F.filter("now", lambda x: x["pos"] == pos)
+        new = lambda field: F.get(F.filter(here, lambda x: x["field"] == field), F.lit(0))["now"]
+        note = F.when(text.contains(";"), F.concat(F.lit(";"), F.coalesce(new("note"), F.substring(text, F.locate(";", text) + 1, F.length(text)))))
+        return F.concat(F.coalesce(new("candidate"), F.substring_index(text, ";", 1)), F.coalesce(note, F.lit("")))
+
+    return both.select(
         F.col("key").alias(key),
-        "garbled",
-        F.when(F.col("garbled"), ~F.col("lost")).alias("recovered"),
-        F.when(F.col("garbled"), F.concat(F.lit("/"), F.array_join(F.transform("ps", lambda x: x["t"]), "/"), F.lit("/"))).otherwise(F.col("packed")).alias("repaired"),
+        garbled.alias("garbled"),
+        F.when(garbled, ~F.col("lost")).alias("recovered"),
+        F.when(garbled, F.array_join(F.transform(F.split("packed", "/", -1), part), "/")).otherwise(F.col("packed")).alias("repaired"),
     )

@@ -42,6 +42,8 @@ WORD_SHARE = 1e-4
 #: Shares of no more (source, field) than this are broadcast, of about 100 bytes each.
 BROADCAST_SOURCES = 50_000
 LOST = chr(0xFFFD)
+#: Of chains without an inverse, and of soundness for an item with U+FFFD, for which UTF-8 read wrongly always has one.
+IMPOSSIBLE = float("-inf")
 _LOST_COST, _BROKEN_COST, _END_COST = log(2e-3), log(1e-9), log(1e-5)
 _FAR = log(1e8)
 #: A letter of the Latin alphabet beside a kanji or kana in one word.
@@ -109,7 +111,12 @@ class Scorer:
                 cost += more
                 if text is None:
                     break
-            out.append(-400.0 if text is None or (steps and text == item and LOST not in item) else max(self.text(text.replace(LOST, "")) + cost if steps else self.text(text), -400.0))
+            if not steps:
+                out.append(IMPOSSIBLE if LOST in item else self.text(item))
+            elif text is None or (text == item and LOST not in item):
+                out.append(IMPOSSIBLE)
+            else:  # however unlikely: a sum over a long item is far below any fixed floor
+                out.append(self.text(text.replace(LOST, "")) + cost)
         return out
 
 

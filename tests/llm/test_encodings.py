@@ -60,3 +60,28 @@ def test_sound_text_stays(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "decoded_id BIGINT, dict_id INT, surfaces STRING")
     assert encodings.repaired_records(df, "decoded_id", "dict_id", "surfaces").collect() == []
+
+
+def test_long_items_have_no_floor(spark):
+    random.seed(3)
+    long = lambda: "".join(random.choices(KANJI + KANA, k=300))
+    scorer = encodings.Scorer({})
+    lossless = {"utf-8 as western", "utf-8 as western, twice", "cp932 as western", "euc_jp as western"}
+    data, want = [], {}
+    for k, name in enumerate(GARBLE):
+        t = long()
+        garbled = GARBLE[name](t)
+        scores = dict(zip(encodings.CHAINS, scorer.scores(garbled)))
+        assert scores["sound"] < scores[name] - 100 and (encodings.LOST in garbled or max(scores, key=scores.get) == name)
+        data.append((k, k % 2, f"/山川;{garbled}/"))
+        want[k] = f"/山川;{t}/" if name in lossless else None
+    sound = [f"/山川;{long()}。{long()}、×①/", "/é;" + "São Mirel café. " * 40 + "/"]
+    data += [(100 + k, 0, s) for k, s in enumerate(sound)] + [(200, 0, f"/山川;{long()}{encodings.LOST}/")]
+    got = {r["decoded_id"]: r for r in encodings.repaired_records(spark.createDataFrame(data, "decoded_id BIGINT, dict_id INT, surfaces STRING"), "decoded_id", "dict_id", "surfaces").collect()}
+    assert {k for k, r in got.items() if r["garbled"]} == {*want, 200}
+    assert all(got[k]["repaired"] == text for k, text in want.items() if text) and not got[200]["recovered"]
+
+
+def test_frequent_long_garbled_note_is_no_known_word():
+    note = GARBLE["cp932 as western"](KANA * 5)
+    assert note not in encodings.Scorer({note: 0.01}).words

@@ -213,9 +213,18 @@ class Finder:
         if self.known:
             for pattern in WEAK_NAMES:
                 for m in pattern.finditer(text):
-                    if m[1][:2].casefold() in self.beginnings or m[1][:1] in self.beginnings:
+                    if self._may_be_known(m[1]):
                         yield from self._name(text, m, 0.2, weak=True)
 
+    def _may_be_known(self, name: str) -> bool:
+        """False only if the first part that counts begins as no known part does: then not all parts are known."""
+        if name[:2].casefold() in self.beginnings:
+            return True
+        words = name.split()
+        while len(words) > 1 and words[0].rstrip(",") in _LATIN_STOP:
+            del words[0]
+        return next((w[:2].casefold() in self.beginnings for w in name_parts(" ".join(words))), False)
+
     def _name(self, text: str, m: re.Match, base: float, weak: bool = False) -> Iterator[Span]:
         start, end = m.span(1)
         name = m[1]

@@ -1,3 +1,5 @@
+import random
+
 from kotonami.llm import pii
 
 CASES = [
@@ -49,3 +51,22 @@ def test_tables_and_learned_names(spark):
     red = {r["doc_id"]: r["text"] for r in pii.redacted_texts(df, "doc_id", "text").collect()}
     assert red[9].endswith("\n\n[NAME]") and red[11] is None and len(red[13]) == 400_000
     assert pii.mentions(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_weak_names_after_stop_words_and_short_parts():
+    finder = pii.Finder({"Maren": 3, "Ormsley": 3, "太郎": 3, "花子": 3, "ヤマカワ": 3})
+    for text, want in [("本文です。\n\nCc Maren Ormsley", "Maren Ormsley"), ("本文です。\n\nThanks Maren Ormsley\n", "Maren Ormsley"), ("本文です。\n\n林 太郎", "林 太郎"), ("本文です。\n\n森　花子\n", "森　花子"), ("本文です。\n\nCc Quill Harbor", None)]:
+        assert [text[s.start : s.end] for s in finder.spans(text)] == ([want] if want else []), text
+
+
+def test_skipped_proposals_have_no_mention():
+    class Whole(pii.Finder):
+        def _may_be_known(self, name):
+            return True
+
+    random.seed(4)
+    words = ["Cc", "Thanks", "Maren", "MAREN", "Ormsley", "Dear,", "Q.", "林", "太郎", "山川", "花子", "はな", "はなこ", "ヤマカワ", "様", "です", "\n", "\n", "。", " ", " ", "　", ",", ", "]
+    for _ in range(5000):
+        lexicon = dict.fromkeys(random.sample(["Maren", "Ormsley", "太郎", "山川", "花子", "はな", "ヤマカワ", "Cc"], 3), 3)
+        text = "".join(random.choices(words, k=12))
+        assert pii.Finder(lexicon).spans(text) == Whole(lexicon).spans(text), text

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -22,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kotonami.runtime import cut_lineage
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
-#: Name parts count with this share of all documents, and 3 at least; so there are at most 16 / share of them.
-NAME_SHARE = 2e-5
+#: Name parts count from this many documents in telling contexts on, however large the corpus is.
+LEAST_DOCUMENTS = 3
+#: A lexicon of more parts isn't broadcast, but joined to what each text asks for; about 200 bytes a part in a worker.
+BROADCAST_PARTS = 200_000
 
 
 class Span(NamedTuple):
@@ -248,6 +253,19 @@ class Finder:
             score += 0.9 if support == 1 else 0.3 if support > 0 and not weak else 0.0
         yield Span(start, end, "name", score)
 
+    def lookups(self, text: str) -> set[str]:
+        """All strings that `names` can ask any lexicon for, of folded text: parts of proposals, their beginnings and ends."""
+        asked: set[str] = set()
+        for pattern, trigger in [*zip((p for p, _ in NAME_CONTEXTS), NAME_TRIGGERS, strict=True), *((p, None) for p in WEAK_NAMES)]:
+            if trigger is None or trigger.search(text):
+                for m in pattern.finditer(text):
+                    for part in name_parts(m[1]):
+                        asked.add(part)
+                        if not part.isascii():
+                            asked.update(part[:k] for k in range(2, len(part)))
+                            asked.update(part[k:] for k in range(1, len(part) - 1))
+        return asked
+
     def _support(self, name: str) -> float:
         """Share of the name that the lexicon knows as parts."""
         parts = name_parts(name)
@@ -297,8 +315,8 @@ class Finder:
 # -- over tables ---------------------------------------------------------------------------
 
 
-def name_lexicon(df: DataFrame, text: str) -> dict[str, int]:
-    """Name parts in telling contexts, with the documents that have each; the frequent ones, a bounded number."""
+def name_lexicon(df: DataFrame, text: str) -> DataFrame:
+    """(part, n) of name parts in telling contexts, with the documents that have each; those of LEAST_DOCUMENTS."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
@@ -315,8 +333,49 @@ def name_lexicon(df: DataFrame, text: str) -> dict[str, int]:
 
     rows = df.where(df[text].isNotNull()).select(df[text].alias("text"))
     counted = rows.mapInArrow(parts, "part STRING, n BIGINT").groupBy("part").agg(F.sum("n").alias("n"))
-    least = max(3, int(NAME_SHARE * rows.count()))
-    return {r["part"]: r["n"] for r in counted.where(F.col("n") >= least).toLocalIterator()}
+    return cut_lineage(counted.where(F.col("n") >= LEAST_DOCUMENTS))
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, part) of batches (h, text): what each text asks the lexicon for."""
+    finder = Finder()
+    hashes: list[int] = []
+    parts: list[str] = []
+    for batch in batches:
+        for h, t in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+            own = finder.lookups(folded(t))
+            hashes += [h] * len(own)
+            parts += own
+            if len(parts) > 50_000:
+                yield pa.record_batch({"h": pa.array(hashes, pa.int64()), "part": pa.array(parts, pa.string())})
+                hashes, parts = [], []
+    yield pa.record_batch({"h": pa.array(hashes, pa.int64()), "part": pa.array(parts, pa.string())})
+
+
+def _with_finders(rows: DataFrame, work: Callable[[pa.RecordBatch, Iterable[Finder]], pa.RecordBatch], schema: str) -> DataFrame:
+    """`work` over batches of rows (key, text) without nulls, with finders for their texts that know the lexicon.
+
+    A small lexicon is broadcast. Else every text gets the parts of it that it can ask for, by a
+    join; texts are told apart by hash, and where two share one, parts more do no harm.
+    """
+    lexicon = name_lexicon(rows, "text")
+    if lexicon.count() <= BROADCAST_PARTS:
+        known = rows.sparkSession.sparkContext.broadcast({r["part"]: r["n"] for r in lexicon.toLocalIterator()})
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(known.value)
+            for batch in batches:
+                yield work(batch, repeat(finder))
+
+        return rows.mapInArrow(whole, schema)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield work(batch, (Finder(dict.fromkeys(parts or (), LEAST_DOCUMENTS)) for parts in batch.column("parts").to_pylist()))
+
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    asked = hashed.select("h", "text").mapInArrow(_asked, "h BIGINT, part STRING").join(lexicon.select("part"), "part")
+    return hashed.join(asked.groupBy("h").agg(F.collect_set("part").alias("parts")), "h", "left").mapInArrow(own, schema)
 
 
 def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -324,30 +383,25 @@ def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Null and empty texts give no row; repeated rows give repeated mentions.
     """
-    lexicon = df.sparkSession.sparkContext.broadcast(name_lexicon(df, text))
     rows = df.where(df[text].isNotNull()).select(df[key].alias("key"), df[text].alias("text"))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(lexicon.value)
-        for batch in batches:
-            lists = [finder.spans(t) for t in batch.column("text").to_pylist()]
-            where = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-            flat = [s for x in lists for s in x]
-            yield pa.record_batch({"key": batch.column("key").take(where), "kind": pa.array([s.kind for s in flat], pa.string()), "start_pos": pa.array([s.start for s in flat], pa.int32()), "end_pos": pa.array([s.end for s in flat], pa.int32()), "score": pa.array([s.score for s in flat], pa.float64())})
+    def find(batch: pa.RecordBatch, finders: Iterable[Finder]) -> pa.RecordBatch:
+        lists = [f.spans(t) for t, f in zip(batch.column("text").to_pylist(), finders)]
+        where = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+        flat = [s for x in lists for s in x]
+        return pa.record_batch({"key": batch.column("key").take(where), "kind": pa.array([s.kind for s in flat], pa.string()), "start_pos": pa.array([s.start for s in flat], pa.int32()), "end_pos": pa.array([s.end for s in flat], pa.int32()), "score": pa.array([s.score for s in flat], pa.float64())})
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(find, f"key {kind}, kind STRING, start_pos INT, end_pos INT, score DOUBLE").withColumnRenamed("key", key)
+    return _with_finders(rows, find, f"key {kind}, kind STRING, start_pos INT, end_pos INT, score DOUBLE").withColumnRenamed("key", key)
 
 
 def redacted_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text) with typed placeholders; null texts stay null."""
-    lexicon = df.sparkSession.sparkContext.broadcast(name_lexicon(df, text))
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
 
-    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(lexicon.value)
-        for batch in batches:
-            yield pa.record_batch({"key": batch.column("key"), "text": pa.array([finder.redacted(t) for t in batch.column("text").to_pylist()], pa.string())})
+    def mend(batch: pa.RecordBatch, finders: Iterable[Finder]) -> pa.RecordBatch:
+        return pa.record_batch({"key": batch.column("key"), "text": pa.array([f.redacted(t) for t, f in zip(batch.column("text").to_pylist(), finders)], pa.string())})
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(mend, f"key {kind}, text STRING").withColumnRenamed("key", key)
+    mended = _with_finders(rows.where("text is not null"), mend, f"key {kind}, text STRING")
+    return mended.unionByName(rows.where("text is null")).withColumnRenamed("key", key)

@@ -70,3 +70,34 @@ def test_skipped_proposals_have_no_mention():
         lexicon = dict.fromkeys(random.sample(["Maren", "Ormsley", "太郎", "山川", "花子", "はな", "ヤマカワ", "Cc"], 3), 3)
         text = "".join(random.choices(words, k=12))
         assert pii.Finder(lexicon).spans(text) == Whole(lexicon).spans(text), text
+
+
+def test_rare_names_in_a_large_corpus(spark):
+    rare = [(i, "お世話になっております。\n山川花子と申します。\n本文です。") for i in range(-3, 0)] + [(-4, "本文です。\n\n山川花子")]
+    df = spark.createDataFrame(rare, "doc_id BIGINT, text STRING").unionByName(spark.range(200_000).selectExpr("id AS doc_id", "'本文です。' AS text"))
+    assert {r["doc_id"] for r in pii.mentions(df, "doc_id", "text").collect()} == {-4, -3, -2, -1}
+
+
+def test_joined_lexicon_gives_the_same(spark, monkeypatch):
+    random.seed(5)
+    names = ["山川花子", "林 太郎", "Maren Ormsley", "ヤマカワ ハナコ", "森 はなこ", "QUILL HERONS"]
+    data = [(100 * k + i, f"はじめまして。\n{n}と申します。\n-- \n{n}\n") for k, n in enumerate(names) for i in range(k)]
+    data += [(1000 + i, "本文です。\n\n" + random.choice(["", "Cc ", "Thanks "]) + random.choice([*names, "花子", "はなこです", "林太郎", "山川様"]) + "\n") for i in range(60)]
+    data += [(2000, None), (2001, None), (2002, ""), (1000, data[-60][1]), data[0], (None, "本文です。\n\nMaren Ormsley")]
+    df = spark.createDataFrame(data, "doc_id BIGINT, text STRING")
+    seen = []
+    for bound in (pii.BROADCAST_PARTS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_PARTS", bound)
+        found = sorted(pii.mentions(df, "doc_id", "text").collect(), key=str)
+        seen.append((found, sorted(pii.redacted_texts(df, "doc_id", "text").collect(), key=str)))
+    assert seen[0] == seen[1] and len(seen[0][0]) > 50 and len(seen[0][1]) == len(data)
+
+
+def test_lookups_hold_what_the_search_asks_for():
+    random.seed(6)
+    words = ["Cc", "Maren", "MAREN", "Ormsley", "林", "太郎", "山川", "花子", "はな", "はなこ", "ヤマカワ", "様", "です", "と申します", "\n", "\n", "。", " ", ", "]
+    for _ in range(3000):
+        lexicon = dict.fromkeys(random.sample(["Maren", "Ormsley", "太郎", "山川", "花子", "はな", "ヤマカワ", "Cc"], 4), 3)
+        text = "".join(random.choices(words, k=12))
+        own = pii.Finder().lookups(pii.folded(text))
+        assert pii.Finder(lexicon).spans(text) == pii.Finder({p: 3 for p in lexicon if p in own}).spans(text), text

@@ -290,9 +290,9 @@ def streaming_user_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kansuji_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of the corpus in kanji."""
-    t = table(spark, sf_dir, "intermediate_token").where(F.col("surface").rlike("^[0-9]{1,12}$")).select("surface").distinct()
-    return t.select("surface", kansuji(F.col("surface").cast("bigint")).alias("kanji"))
+    """Numbers of the corpus in kanji: every numeral that a BIGINT holds."""
+    t = table(spark, sf_dir, "intermediate_token").where(F.col("surface").rlike(r"^[0-9]+\z") & F.col("surface").try_cast("bigint").isNotNull()).select("surface").distinct()
+    return t.select("surface", kansuji(F.col("surface").try_cast("bigint")).alias("kanji"))
 
 
 def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,19 @@ def prefix_hits(readings: DataFrame, keys: DataFrame, reading: str = "reading",
     return subs.join(keys.select(F.col("yomi").alias("key")).distinct(), "key", "left_semi")
 
 
-def predictive_hits(dictionary: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
-    """Readings that begin with `prefix`, the first ones in order; the filter reaches the scan."""
-    return dictionary.select("yomi").where(F.col("yomi").startswith(prefix)).distinct().orderBy("yomi").limit(limit)
+def predictive_hits(dictionary: DataFrame, prefix: str, limit: int | None = None) -> DataFrame:
+    """Readings that begin with `prefix`, all or the first ones in order; the filter reaches the scan."""
+    hits = dictionary.select("yomi").where(F.col("yomi").startswith(prefix)).distinct()
+    return hits if limit is None else hits.orderBy("yomi").limit(limit)
+
+
+def continuations(dictionary: DataFrame, prefixes: DataFrame, prefix: str = "prefix") -> DataFrame:
+    """(prefix, yomi) of every distinct prefix and every reading that begins with it; the empty prefix begins all, null none.
+
+    Beginnings of readings up to the longest prefix meet the prefixes in an equi-join, no theta join.
+    """
+    wanted = prefixes.select(F.col(prefix).alias("prefix")).where("prefix is not null").distinct()
+    longest = wanted.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0))).first()[0]
+    readings = dictionary.select("yomi").where("yomi is not null").distinct()
+    begun = readings.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(longest), F.length("yomi"))), lambda k: F.substring("yomi", F.lit(1), k))))
+    return begun.join(wanted, "prefix").select("prefix", "yomi")

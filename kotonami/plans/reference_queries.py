@@ -175,7 +175,12 @@ def dictionary_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dictionary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first readings that continue a prefix: a report of ten."""
-    return dictionary.predictive_hits(table(spark, sf_dir, "dict_decoded"), "かい")
+    return dictionary.predictive_hits(table(spark, sf_dir, "dict_decoded"), "かい", 10)
+
+
+def dictionary_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dictionary reading that continues the reading of a lattice node."""
+    return dictionary.continuations(table(spark, sf_dir, "dict_decoded"), table(spark, sf_dir, "word_node"), "yomi")
 
 
 # -- lattices ------------------------------------------------------------------------------
@@ -329,7 +334,7 @@ def lattice_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     token_merge, kana_preferred, start_offsets, wfreq, unigram_model, model_totals, bigram_model, bigram_words, bigram_rekeyed, new_words, score_rules, wiki_text, novel_text,
-    dictionary_merged, dictionary_keys, dictionary_okuri, dictionary_of_vocabulary, dictionary_violations, dictionary_prefixes, dictionary_predictions, eval_segments, eval_nodes,
+    dictionary_merged, dictionary_keys, dictionary_okuri, dictionary_of_vocabulary, dictionary_violations, dictionary_prefixes, dictionary_predictions, dictionary_continuations, eval_segments, eval_nodes,
     node_costs, lattice_edges, span_alternatives, lattice_decoded, lattice_pages, eval_converted, eval_scores, user_unigram_costs, user_bigram_costs, streaming_user_counts, kansuji_numbers, word_overlap, unigram_dump, bigram_dump, passages_tokenized, lattice_graphs,
 )}
 
@@ -430,6 +435,7 @@ SQL = {
     "dictionary_violations": "WITH r AS (SELECT yomi, unnest(string_split(replace(coalesce(surfaces, ''), '／', '/'), '/')) AS surface FROM dict_entry WHERE yomi IS NOT NULL), p AS (SELECT yomi, surface, CASE WHEN yomi = '' THEN 'empty yomi' WHEN surface = '' THEN 'empty surface' WHEN strpos(yomi, chr(12288)) > 0 THEN 'blank in yomi' WHEN yomi = 'い' AND (len(surface) > 1 OR surface = '好い') THEN 'surface longer than yomi' END AS problem FROM r) SELECT DISTINCT * FROM p WHERE problem IS NOT NULL",
     "dictionary_prefixes": f"WITH {_DICT}, places AS (SELECT item_id, yomi AS r, unnest(range(len(yomi))) AS p FROM eval_item), longest AS (SELECT max(len(yomi)) AS m FROM keys), subs AS (SELECT item_id, p, unnest(range(1, least(m, len(r) - p) + 1)) AS k, r FROM places, longest) SELECT item_id, CAST(p AS INT) AS start_pos, keys.yomi FROM subs JOIN keys ON keys.yomi = r[p + 1:p + k]",
     "dictionary_predictions": "SELECT DISTINCT yomi FROM dict_decoded WHERE starts_with(yomi, 'かい') ORDER BY encode(yomi) LIMIT 10",
+    "dictionary_continuations": "WITH p AS (SELECT DISTINCT yomi AS prefix FROM word_node WHERE yomi IS NOT NULL), d AS (SELECT DISTINCT yomi FROM dict_decoded WHERE yomi IS NOT NULL) SELECT prefix, yomi FROM p JOIN d ON starts_with(yomi, prefix)",
     "eval_segments": f"WITH RECURSIVE {_SEGMENTS} SELECT * FROM segs",
     "eval_nodes": f"WITH RECURSIVE {_SEGMENTS}, cand AS (SELECT s.*, coalesce(list_filter(d.surfaces, lambda x: x <> ''), []) AS d, translate(s.yomi, '{_HIRA}', '{_KATA}') AS k FROM segs s LEFT JOIN dict d ON d.yomi = s.yomi), body AS (SELECT sent_id, start_pos, end_pos, unnest(d) AS surface, yomi, false AS auto_generated FROM cand UNION ALL SELECT sent_id, start_pos, end_pos, yomi, yomi, true FROM cand WHERE NOT list_contains(d, yomi) UNION ALL SELECT sent_id, start_pos, end_pos, k, yomi, true FROM cand WHERE NOT list_contains(d, k) UNION ALL SELECT sent_id, start_pos, end_pos, '(*(*(NUMBER-KANSUJI', yomi, false FROM cand WHERE regexp_matches(yomi, '^[0-9]+')), len AS (SELECT sent_id, max(end_pos) AS l FROM segs GROUP BY sent_id) SELECT * FROM body UNION ALL SELECT sent_id, -1, 0, '__BOS__', '__BOS__', false FROM len UNION ALL SELECT sent_id, l, l + 1, '__EOS__', '__EOS__', false FROM len",
     "node_costs": f"WITH {_MERGE}, g AS {_GAINS.format('user_unigram')}, gs AS (SELECT CAST(sum(cnt) AS BIGINT) AS gt, count(*) AS gu FROM g) SELECT sent_id, node_idx, round(coalesce({_cost('g.cnt', 'gt', 'gu')}, score, CASE WHEN strlen(surface) < strlen(yomi) THEN {_cost('1', 'coalesce(t, 0)')} ELSE {_cost('0', 'coalesce(t, 0)')} END), 6) AS node_cost FROM {_NODES} n LEFT JOIN g ON g.word_key = surface || '/' || yomi, stats, gs",

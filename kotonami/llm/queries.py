@@ -46,31 +46,43 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_records(spark, sf_dir).where("garbled").select("decoded_id").distinct()
 
 
-def _lattice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lattice_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct (rec, item), and the number of records."""
     nodes = table(spark, sf_dir, "word_node")
     items = nodes.where(~F.col("auto_generated") & F.col("surface").isNotNull() & ~F.col("surface").isin(*SENTINELS) & F.col("sent_id").isNotNull())
-    items = cut_lineage(items.select(F.col("sent_id").alias("rec"), F.col("surface").alias("item")).distinct())
-    return cooccur.surprise(cooccur.basket_pairs(items, nodes.select(F.count_distinct("sent_id").alias("total"))), items)
+    return cut_lineage(items.select(F.col("sent_id").alias("rec"), F.col("surface").alias("item")).distinct()), nodes.select(F.count_distinct("sent_id").alias("total"))
 
 
-def _user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _user_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct (rec, item_a, item_b), distinct (rec, item), and the number of records."""
     saved = table(spark, sf_dir, "user_bigram")
     words = F.split("word_key", "\t", -1)
-    keys = saved.where(F.col("user_id").isNotNull() & (F.size(words) == 2)).select(F.col("user_id").alias("rec"), words[0].alias("x"), words[1].alias("y")).distinct()
-    keys = cut_lineage(keys)
-    items = cut_lineage(keys.select("rec", F.explode(F.array("x", "y")).alias("item")).distinct())
-    links = keys.where("x <> y").select("rec", F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()
-    return cooccur.surprise(cooccur.keyed_pairs(links, items, saved.select(F.count_distinct("user_id").alias("total"))), items)
+    keys = saved.where(F.col("user_id").isNotNull() & (F.size(words) == 2)).select(F.col("user_id").alias("rec"), words[0].alias("x"), words[1].alias("y"))
+    pairs = cut_lineage(keys.select("rec", F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct())
+    items = pairs.select("rec", F.explode(F.array("item_a", "item_b")).alias("item")).distinct()
+    return pairs.where("item_a <> item_b"), items, saved.select(F.count_distinct("user_id").alias("total"))
+
+
+def _named(lattices: DataFrame, users: DataFrame) -> DataFrame:
+    return lattices.select(F.lit("word_node").alias("source_table"), "*").unionByName(users.select(F.lit("user_bigram").alias("source_table"), "*"))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that stand together at least 5 times and 4 times as often as chance, with their counts."""
+    items, total = _lattice_items(spark, sf_dir)
+    links, own, users = _user_links(spark, sf_dir)
+    return _named(cooccur.basket_pairs(items, total), cooccur.keyed_pairs(links, own, users))
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that stand together at least 5 times and 4 times as often as chance, with their surprise under the fitted null."""
-    named = [d.select(F.lit(n).alias("source_table"), "*") for n, d in (("word_node", _lattice_pairs(spark, sf_dir)), ("user_bigram", _user_pairs(spark, sf_dir)))]
-    return named[0].unionByName(named[1])
+    """The pairs of p6_counts with their surprise under the fitted null; `surprising` marks those within the false-discovery bound."""
+    items, total = _lattice_items(spark, sf_dir)
+    links, own, users = _user_links(spark, sf_dir)
+    return _named(cooccur.surprise(cooccur.basket_pairs(items, total), items), cooccur.link_surprise(cooccur.keyed_pairs(links, own, users), links))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of p6_pairs."""
+    """The pairs of p6_pairs, surprising or not."""
     return p6_pairs(spark, sf_dir).select("source_table", "item_a", "item_b")
 
 
@@ -99,7 +111,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_counts": p6_counts, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 _TERMS = rf"""
 WITH counts AS (
@@ -124,14 +136,16 @@ WITH w AS (
 wt AS (SELECT count(DISTINCT sent_id) AS total FROM word_node), ut AS (SELECT count(DISTINCT user_id) AS total FROM user_bigram),
 wk AS (SELECT w.rec, w.item FROM w JOIN wn USING (item), wt WHERE wn.n >= 5 AND wn.n * 4 <= wt.total),
 wp AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM wk a JOIN wk b ON a.rec = b.rec AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 5),
-up AS (SELECT least(x, y) AS item_a, greatest(x, y) AS item_b, count(DISTINCT rec) AS n_ab FROM k WHERE x <> y GROUP BY 1, 2 HAVING count(DISTINCT rec) >= 5)
-SELECT 'word_node' AS source_table, item_a, item_b FROM wp JOIN wn p ON p.item = item_a JOIN wn q ON q.item = item_b, wt WHERE n_ab * total >= 4 * p.n * q.n
-UNION ALL
-SELECT 'user_bigram', item_a, item_b FROM up JOIN un p ON p.item = item_a JOIN un q ON q.item = item_b, ut WHERE n_ab * total >= 4 * p.n * q.n"""
+up AS (SELECT least(x, y) AS item_a, greatest(x, y) AS item_b, count(DISTINCT rec) AS n_ab FROM k WHERE x <> y GROUP BY 1, 2 HAVING count(DISTINCT rec) >= 5),
+named AS (
+  SELECT 'word_node' AS source_table, item_a, item_b, n_ab, p.n AS n_a, q.n AS n_b, total FROM wp JOIN wn p ON p.item = item_a JOIN wn q ON q.item = item_b, wt WHERE n_ab * total >= 4 * p.n * q.n
+  UNION ALL
+  SELECT 'user_bigram', item_a, item_b, n_ab, p.n, q.n, total FROM up JOIN un p ON p.item = item_a JOIN un q ON q.item = item_b, ut WHERE n_ab * total >= 4 * p.n * q.n)"""
 
 SQL = {
     "p1_found": _TERMS + " SELECT source_table, term, mark FROM marked WHERE mark IS NOT NULL",
     "p1_terms": _TERMS + " SELECT * FROM marked",
-    "p6_found": _PAIRS,
+    "p6_found": _PAIRS + " SELECT source_table, item_a, item_b FROM named",
+    "p6_counts": _PAIRS + " SELECT * FROM named",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -6,6 +6,12 @@ training text is cut into overlapping passages, so that each run of `run` charac
 one of them; each passage is a query and retrieves every item whose score reaches the item's
 own threshold: the least score that any `run` characters of the item give. No true case can
 score less, so the retrieval loses none; an exact comparison then verifies the overlap.
+
+Items of no more than BROADCAST_GRAMS n-grams make one index that every worker holds. More
+are tables: postings by n-gram, with the largest impact of each block of items. Either way the
+training texts are read once. There, a scan behind a Bloom filter of fixed size keeps what can
+hold a run; the n-grams that together can't reach any threshold retrieve nothing (they only
+add to bounds); a block is retrieved if its bound reaches the least threshold of its items.
 """
 
 from __future__ import annotations
@@ -15,15 +21,23 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from kotonami.operators.ordered import ranked
+from kotonami.runtime import cut_lineage
 
-#: Test items indexed at once; more are taken in blocks, each against all training texts.
-ITEM_BLOCK = 5000
+#: Items of no more n-grams than this are indexed on the driver and broadcast, at about 500 bytes an n-gram.
+BROADCAST_GRAMS = 300_000
+#: Bits of the Bloom filter of the n-grams of larger sets of items, as a power of two (16 MB); items in a block of postings.
+BLOOM_BITS, BLOCK_ITEMS = 27, 32
+K1, B = 1.2, 0.75
 
 # marks that compose with a letter stay until they are composed; selectors and joiners go
 _COMPOSING = f"{chr(0x300)}-{chr(0x34E)}{chr(0x350)}-{chr(0x36F)}{chr(0x3099)}{chr(0x309A)}"
@@ -36,10 +50,32 @@ def letters(text: str | None) -> str:
     return _AFTER.sub("", unicodedata.normalize("NFKC", _BEFORE.sub("", text or "")).casefold())
 
 
+def gram_hashes(text: str, gram: int) -> np.ndarray:
+    """A 64-bit hash of every n-gram of the text, by position."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - gram + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    if n > 0:
+        for k in range(gram):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+            out ^= out >> np.uint64(29)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+def long_stretches(at: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, last) of the stretches of at least `least` consecutive numbers in sorted `at`."""
+    if len(at) < least:
+        return []
+    cuts = np.flatnonzero(np.diff(at) != 1)
+    first, last = np.r_[0, cuts + 1], np.r_[cuts, len(at) - 1]
+    keep = last - first + 1 >= least
+    return [(int(at[f]), int(at[e])) for f, e in zip(first[keep], last[keep])]
+
+
 class BlockMaxIndex:
     """BM25 impacts of items by n-gram, for exhaustive retrieval above thresholds."""
 
-    def __init__(self, items: dict[int, str], gram: int = 8, run: int = 30, k1: float = 1.2, b: float = 0.75, block: int = 32):
+    def __init__(self, items: dict[int, str], gram: int = 8, run: int = 30, k1: float = K1, b: float = B, block: int = 32):
         self.gram, self.run = gram, run
         self.texts = {i: t for i, t in items.items() if len(t) >= run}
         self.names = sorted(self.texts)
@@ -79,15 +115,7 @@ class BlockMaxIndex:
         return least * (1 - 1e-9)
 
     def hashes(self, text: str) -> np.ndarray:
-        """A 64-bit hash of every n-gram of the text, by position."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n = len(codes) - self.gram + 1
-        out = np.zeros(max(n, 0), np.uint64)
-        if n > 0:
-            for k in range(self.gram):
-                out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
-                out ^= out >> np.uint64(29)
-        return out * np.uint64(0xD6E8FEB86659FD93)
+        return gram_hashes(text, self.gram)
 
     def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the text's n-grams that the index holds, and their terms."""
@@ -150,6 +178,13 @@ class BlockMaxIndex:
         if len(plain) < self.run or not self.names:
             return []
         at, terms = self.hits(plain)
+        stretches = long_stretches(at, self.run - self.gram + 1)  # a run has all its n-grams in the index
+        if not stretches:
+            return []
+        inside = np.zeros(len(at), bool)
+        for first, last in stretches:
+            inside[np.searchsorted(at, first) : np.searchsorted(at, last) + 1] = True
+        at, terms = at[inside], terms[inside]
         found: set[int] = set()
         step = passage - self.run + 1
         begin = 0
@@ -166,33 +201,138 @@ class BlockMaxIndex:
         return sorted(found)
 
 
-def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, passage: str, run: int = 30) -> DataFrame:
+def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, passage: str, run: int = 30, gram: int = 8) -> DataFrame:
     """Distinct (key, item_key) of texts that hold at least `run` consecutive letters and digits of a passage.
 
-    Items are few and fixed; they are indexed in blocks of ITEM_BLOCK, each block broadcast and
-    asked by every passage of every text. Null texts and passages shorter than `run` give no row.
+    Null texts and passages shorter than `run` give no row; several passages under one item_key all count.
     """
-    spark = documents.sparkSession
     rows = documents.where(documents[text].isNotNull()).select(documents[key].alias("key"), documents[text].alias("text"))
+    own = items.where(items[passage].isNotNull()).select(items[item_key].alias("item"), items[passage].alias("passage"))
+    kind = own.schema["item"].dataType.simpleString()
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [letters(t) for t in batch.column("passage").to_pylist()]
+            keep = pa.array([len(t) >= run for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("item").filter(keep), pa.array(texts, pa.string()).filter(keep)], ["item", "plain"])
+
+    passages = cut_lineage(own.mapInArrow(plain, f"item {kind}, plain STRING").distinct())
+    grams = passages.agg(F.coalesce(F.sum(F.length("plain") - (gram - 1)), F.lit(0))).first()[0]
+    found = _by_broadcast(rows, passages, run, gram) if grams <= BROADCAST_GRAMS else _by_tables(rows, passages, run, gram)
+    return found.distinct().select(F.col("key").alias(key), F.col("item").alias(item_key))
+
+
+def _by_broadcast(rows: DataFrame, passages: DataFrame, run: int, gram: int) -> DataFrame:
+    """(key, item) by one index of checked size that all workers hold."""
+    own = [(r["item"], r["plain"]) for r in passages.toLocalIterator()]
+    index = rows.sparkSession.sparkContext.broadcast((BlockMaxIndex(dict(enumerate(t for _, t in own)), gram, run), [i for i, _ in own]))
+    kinds = [rows.schema["key"].dataType.simpleString(), passages.schema["item"].dataType.simpleString()]
+    item_type = to_arrow_type(passages.schema["item"].dataType)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = index.value
+        for batch in batches:
+            lists = [held.leaked(t) for t in batch.column("text").to_pylist()]
+            where = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            yield pa.record_batch({"key": batch.column("key").take(pa.array(where)), "item": pa.array([name[i] for x in lists for i in x], item_type)})
+
+    return rows.mapInArrow(ask, f"key {kinds[0]}, item {kinds[1]}")
+
+
+def _postings(passages: DataFrame, gram: int) -> DataFrame:
+    """(pid, len, h, tf) of passages (pid, plain)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pid, text in zip(batch.column("pid").to_pylist(), batch.column("plain").to_pylist()):
+                h, tf = np.unique(gram_hashes(text, gram).view(np.int64), return_counts=True)
+                yield pa.record_batch({"pid": np.full(len(h), pid, np.int32), "len": np.full(len(h), len(text), np.int32), "h": h, "tf": tf.astype(np.int32)})
+
+    return passages.select("pid", "plain").mapInArrow(cut, "pid INT, len INT, h BIGINT, tf INT")
+
+
+def _bloom(grams: DataFrame) -> np.ndarray:
+    """A bit table of the hashes `h`; its words are combined before they reach the driver, 2 ** BLOOM_BITS bits at most."""
+    bit = F.shiftrightunsigned("h", 64 - BLOOM_BITS)
+    words = grams.groupBy(F.shiftrightunsigned(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - BLOOM_BITS}) % 64 AS INT))")).alias("v"))
+    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    for batch in words.toLocalIterator():
+        table[batch["w"]] = batch["v"]
+    return table
+
+
+def _by_tables(rows: DataFrame, passages: DataFrame, run: int, gram: int, width: int = 256) -> DataFrame:
+    """(key, item) by postings as tables; one scan of the rows, nothing of the index on the driver but its Bloom filter."""
+    spark = rows.sparkSession
+    numbered = cut_lineage(ranked(passages, ["item", "plain"], "pid").withColumn("block", F.floor(F.col("pid") / BLOCK_ITEMS)))
+    stats = numbered.agg(F.count("*").alias("n"), F.avg(F.length("plain")).alias("mean")).first()
+    post = cut_lineage(_postings(numbered, gram))
+    df = post.groupBy("h").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(float(stats["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean"])))
+    post = cut_lineage(post.join(df, "h").select("pid", F.floor(F.col("pid") / BLOCK_ITEMS).alias("block"), "h", impact.alias("impact")))
+    blocks = cut_lineage(post.groupBy("h", "block").agg(F.max("impact").alias("top")))
+    grams = cut_lineage(blocks.groupBy("h").agg(F.max("top").alias("top")))
+
+    def thresholds(batches):
+        for pdf in batches:
+            least = []
+            for text, own in zip(pdf.plain, pdf.own):
+                impacts = {x["h"]: x["impact"] for x in own}
+                h = gram_hashes(text, gram).view(np.int64).tolist()
+                size = run - gram + 1
+                least.append(min(sum(impacts[g] for g in set(h[i : i + size])) for i in range(len(h) - size + 1)) * (1 - 1e-9))
+            yield pdf[["block"]].assign(least=least)
+
+    lists = post.groupBy("pid").agg(F.collect_list(F.struct("h", "impact")).alias("own"))  # no longer than the passage
+    block_least = cut_lineage(numbered.join(lists, "pid").select("block", "plain", "own").mapInPandas(thresholds, "block BIGINT, least DOUBLE").groupBy("block").agg(F.min("least").alias("least")))
+    least = block_least.agg(F.min("least")).first()[0]
+    bits = spark.sparkContext.broadcast(_bloom(grams))
+    shift, size = np.uint64(64 - BLOOM_BITS), run - gram + 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        for batch in batches:
+            source, texts, hashes = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                plain = letters(text)
+                h = gram_hashes(plain, gram)
+                place = (h >> shift).astype(np.int64)
+                at = np.flatnonzero((table[place >> 6] >> (place & 63)) & 1)
+                for first, last in long_stretches(at, size):
+                    for a in range(first, last + gram - run + 1, width - run + 1):
+                        b = min(a + width, last + gram)
+                        source.append(i)
+                        texts.append(plain[a:b])
+                        hashes.append(np.unique(h[a : b - gram + 1].view(np.int64)).tolist())
+            yield pa.record_batch({"key": batch.column("key").take(pa.array(source, pa.int64())), "plain": pa.array(texts, pa.string()), "hs": pa.array(hashes, pa.list_(pa.int64()))})
+
     kind = rows.schema["key"].dataType.simpleString()
-    own = items.where(items[passage].isNotNull()).select(items[item_key].cast("bigint").alias("item"), items[passage].alias("passage")).distinct()
-    n_blocks = max(1, -(-own.count() // ITEM_BLOCK))
-    parts = []
-    for b in range(n_blocks):
-        block: dict[int, str] = {}
-        for r in own.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).toLocalIterator():
-            block[r["item"]] = block.get(r["item"], "") + ("\0" + letters(r["passage"]) if r["item"] in block else letters(r["passage"]))
-        index = spark.sparkContext.broadcast(BlockMaxIndex(block, run=run))
-
-        def ask(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            found = index.value.leaked
-            for batch in batches:
-                lists = [found(t) for t in batch.column("text").to_pylist()]
-                where = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                yield pa.record_batch({"key": batch.column("key").take(pa.array(where)), "item": pa.array([i for x in lists for i in x], pa.int64())})
-
-        parts.append(rows.mapInArrow(ask, f"key {kind}, item BIGINT"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct().select(F.col("key").alias(key), F.col("item").cast(items.schema[item_key].dataType).alias(item_key))
+    asked = cut_lineage(rows.mapInArrow(scan, f"key {kind}, plain STRING, hs ARRAY<BIGINT>")).withColumn("id", F.monotonically_increasing_id())
+    met = asked.select("id", F.explode("hs").alias("h")).join(grams, "h")
+    light = F.sum("top").over(Window.partitionBy("id").orderBy("top", "h").rowsBetween(Window.unboundedPreceding, 0))  # at most `width` rows each
+    split = met.withColumn("so_far", light)
+    rest = split.where(F.col("so_far") < least).groupBy("id").agg(F.sum("top").alias("rest"))
+    bound = split.where(F.col("so_far") >= least).select("id", "h").join(blocks, "h").groupBy("id", "block").agg(F.sum("top").alias("bound"))
+    close = bound.join(rest, "id", "left").join(block_least, "block").where(F.col("bound") + F.coalesce("rest", F.lit(0.0)) >= F.col("least")).select("id", "block")
+    texts = numbered.groupBy("block").agg(F.collect_list(F.struct("item", "plain")).alias("items"))  # BLOCK_ITEMS of them
+    pairs = close.join(asked.select("id", "key", "plain"), "id").join(texts, "block")
+
+    item_type = to_arrow_type(passages.schema["item"].dataType)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=64)
+        def runs(text: str) -> frozenset[str]:
+            return frozenset(text[i : i + run] for i in range(len(text) - run + 1))
+
+        for batch in batches:
+            source, found = [], []
+            for n, (text, own) in enumerate(zip(batch.column("plain").to_pylist(), batch.column("items").to_pylist())):
+                mine = [text[i : i + run] for i in range(len(text) - run + 1)]
+                hit = [x["item"] for x in own if not runs(x["plain"]).isdisjoint(mine)]
+                source += [n] * len(hit)
+                found += hit
+            yield pa.record_batch({"key": batch.column("key").take(pa.array(source, pa.int64())), "item": pa.array(found, item_type)})
+
+    item_kind = passages.schema["item"].dataType.simpleString()
+    return pairs.select("block", "key", "plain", "items").sortWithinPartitions("block").mapInArrow(verify, f"key {kind}, item {item_kind}")

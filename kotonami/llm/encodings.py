@@ -3,11 +3,15 @@
 An item of text was written in one encoding and decoded in another, at times twice; the
 chain is latent. For every distinct item the likelihood under each chain is the probability
 of its inverse (the text that the chain would have garbled so) under a model of sound text:
-characters by class, mixed with the words that make up a fixed share of all items. Bytes
-that a lossy decoding dropped cost a factor each. The E-step gives each item its posterior
+characters by class, or a known word where the text is an item of other records, the surer
+the more records have it. Bytes that a lossy decoding dropped cost a factor each. The E-step gives each item its posterior
 over chains; the M-step sets the share of each chain in every (source, field), with a common
 prior, so that records which say little by themselves borrow from others of their source.
 Each record is then repaired by posterior, where its inverse lost nothing.
+
+Only items that some chain could have made take part one by one; EM runs on their classes of
+likelihoods by source and field, to convergence. No probability depends on the size of the corpus:
+records of other sources and words don't change the judgement of a record.
 """
 
 from __future__ import annotations
@@ -37,14 +41,22 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
     "utf-8 as euc_jp": (("utf-8", "euc_jp"),),
     "cp932 as euc_jp": (("cp932", "euc_jp"),),
 }
-#: A word is known if it makes up this share of all items; so there are at most 1 / share such words.
-WORD_SHARE = 1e-4
+#: An item that n other records have, from KNOWN_LEAST on, has the probability n / (n + KNOWN_HALF) / VOCABULARY of a known word, whatever the size of the corpus.
+KNOWN_LEAST, KNOWN_HALF, VOCABULARY = 3, 100, 500
+#: EM ends when no share moves by more than this, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-6, 500
+#: Classes of likelihoods in EM: steps in nats, and what is further from the likeliest chain counts as this far.
+#: So a source has few classes, however many items: most items have two or three chains nearer than that.
+STEP, FAR_CLASS = 0.5, -40.0
+#: A chain further than this from the likeliest, in nats, has no weight, even if its text is a known word.
+HOPELESS = 45.0
 #: Shares of no more (source, field) than this are broadcast, of about 100 bytes each.
 BROADCAST_SOURCES = 50_000
 LOST = chr(0xFFFD)
 #: Of chains without an inverse, and of soundness for an item with U+FFFD, for which UTF-8 read wrongly always has one.
 IMPOSSIBLE = float("-inf")
 _LOST_COST, _BROKEN_COST, _END_COST = log(2e-3), log(1e-9), log(1e-5)
+#: An item whose characters alone call it garbled by this much is no known word: a garbled note can be frequent too.
 _FAR = log(1e8)
 #: A letter of the Latin alphabet beside a kanji or kana in one word.
 _MIXED_COST = log(3e-2)
@@ -77,13 +89,10 @@ def char_class(ch: str) -> str:
 
 
 class Scorer:
-    """Log-likelihoods of an item under every chain."""
+    """Log-likelihoods of an item under every chain, by characters."""
 
-    def __init__(self, words: dict[str, float], word_weight: float = 0.5):
-        self.words: dict[str, float] = {}
+    def __init__(self):
         self.cost: dict[str, float] = {}
-        # frequent items, but for those that their characters alone call garbled by far: a garbled note can be frequent too
-        self.words = {w: log(word_weight * p) for w, p in words.items() if (s := self.scores(w))[0] > max(s) - _FAR}
 
     def text(self, text: str) -> float:
         """Log-probability of sound text."""
@@ -95,29 +104,34 @@ class Scorer:
             total += c
         if any("a" <= ch <= "z" for ch in text) and not text.isascii():
             total += _MIXED_COST * sum((a.isascii() and a.isalpha()) != (b.isascii() and b.isalpha()) and ord(max(a, b)) > 0x2FF for a, b in zip(text, text[1:]))
-        return max(total, self.words.get(text, total))
-
-    def plain(self, text: str) -> bool:
-        return all(char_class(c) in ("ascii", "kana", "kanji") for c in text)
-
-    def scores(self, item: str) -> list[float]:
-        if self.plain(item):
-            return [0.0] + [-60.0] * (len(CHAINS) - 1)
-        out = []
-        for steps in CHAINS.values():
+        return total
+
+    def readings(self, item: str, within: float = HOPELESS) -> tuple[float, list[tuple[int, str, float, float]]]:
+        """The score of the item as it is, and (chain, text before it, score of that text, cost of losses) of each chain that could have made it.
+
+        Plain ASCII reads alike in all these encodings. Chains further than `within` from the likeliest are left out.
+        """
+        own = IMPOSSIBLE if LOST in item else self.text(item)
+        if item.isascii():
+            return own, []
+        found = []
+        for k, steps in enumerate(CHAINS.values()):
             text, cost = item, 0.0
             for written, read in reversed(steps):
                 text, more = inverse(text, written, read)
                 cost += more
                 if text is None:
                     break
-            if not steps:
-                out.append(IMPOSSIBLE if LOST in item else self.text(item))
-            elif text is None or (text == item and LOST not in item):
-                out.append(IMPOSSIBLE)
-            else:  # however unlikely: a sum over a long item is far below any fixed floor
-                out.append(self.text(text.replace(LOST, "")) + cost)
-        return out
+            # no fixed floor: a sum over a long item is far below any; but losses may rule a chain out before its text is looked at
+            if steps and text is not None and (text != item or LOST in item) and cost - log(VOCABULARY) >= own - within:
+                before = text.replace(LOST, "")
+                found.append((k, before, self.text(before), cost))
+        best = max([own, *(s + c for _, _, s, c in found)])
+        return own, [f for f in found if max(f[2], -log(VOCABULARY)) + f[3] > best - within]
+
+    def scores(self, item: str) -> list[float]:
+        own, found = self.readings(item, float("inf"))
+        return [own] + [next((s + c for j, _, s, c in found if j == k), IMPOSSIBLE) for k in range(1, len(CHAINS))]
 
 
 def inverse(text: str, written: str, read: str) -> tuple[str | None, float]:
@@ -168,65 +182,84 @@ def packed_items(rows: DataFrame) -> DataFrame:
     return parts.select("key", "h", "source", "pos", F.explode(fields).alias("f")).select("key", "h", "source", "pos", "f.field", "f.item").where("item is not null and item <> ''")
 
 
-def _common_words(counts: DataFrame) -> dict[str, float]:
-    """Words of at least WORD_SHARE of all items, at most 1 / WORD_SHARE of them."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    by_item = counts.groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, WORD_SHARE * total))
-    return {r["item"]: r["n"] / total for r in by_item.toLocalIterator()}
-
+def _known(n: Column) -> Column:
+    """Log-probability of a word that `n` records have."""
+    return F.when(n >= KNOWN_LEAST, F.log(n / (n + KNOWN_HALF)) - log(VOCABULARY)).otherwise(F.lit(IMPOSSIBLE))
 
-def chain_posteriors(items: DataFrame, rounds: int = 4, prior: float = 4.0) -> DataFrame:
-    """(source, field, item, chain, p_sound) of every distinct item: the likeliest chain and the posterior of soundness.
 
-    `items` has source, field and item; a null source is a source of its own.
-    """
-    spark = items.sparkSession
-    counts = items.groupBy("source", "field", "item").agg(F.count("*").alias("n"))
-    words = spark.sparkContext.broadcast(_common_words(counts))
-    names = list(CHAINS)
+def _likelihoods(counts: DataFrame) -> DataFrame:
+    """(item, ll) of the items of counts (item, n) that some chain could have made: their log-likelihoods under every chain."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(words.value)
+        scorer = Scorer()
+        kind = pa.list_(pa.struct([("chain", pa.int32()), ("text", pa.string()), ("score", pa.float64()), ("cost", pa.float64())]))
         for batch in batches:
-            scores = [scorer.scores(x) for x in batch.column("item").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.list_(pa.float64()))], names=[*batch.schema.names, "ll"])
+            read = [scorer.readings(x) for x in batch.column("item").to_pylist()]
+            ok = [own > max((s + c for _, _, s, c in found), default=IMPOSSIBLE) - _FAR for own, found in read]
+            alts = [[{"chain": k, "text": t, "score": s, "cost": c} for k, t, s, c in found] for _, found in read]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own for own, _ in read], pa.float64()), pa.array(ok, pa.bool_()), pa.array(alts, kind)], names=["item", "n", "own", "ok", "alts"])
+
+    scored = cut_lineage(counts.mapInArrow(score, "item STRING, n BIGINT, own DOUBLE, ok BOOLEAN, alts ARRAY<STRUCT<chain: INT, text: STRING, score: DOUBLE, cost: DOUBLE>>"))
+    words = scored.where("ok").select(F.col("item").alias("text"), F.col("n").alias("known"))
+    suspects = scored.where("size(alts) > 0 or own = double('-infinity')").select("item", "n", "own", "ok", "alts")
+    one = suspects.select("item", "n", "own", "ok", F.explode_outer("alts").alias("a")).select("item", "n", "own", "ok", "a.*").join(words, "text", "left")
+    value = F.greatest("score", _known(F.coalesce("known", F.lit(0)))) + F.col("cost")
+    impossible = F.lit(IMPOSSIBLE)
+    each = [F.coalesce(F.max(F.when(F.col("chain") == k, value)), impossible) for k in range(1, len(CHAINS))]
+    # the garbled form of a word is rarer than the word: no known word by itself
+    by_itself = F.max("ok") & (F.coalesce(F.max("known"), F.lit(0)) < F.max("n"))
+    own = F.when(by_itself, F.greatest(F.max("own"), _known(F.max("n") - 1))).otherwise(F.max("own"))
+    return cut_lineage(one.groupBy("item").agg(F.array(own, *each).alias("ll")))
+
+
+def posterior(ll: Column, share: Column) -> Column:
+    """array<double>: posterior of every chain, of its log-likelihoods and shares."""
+    top = F.array_max(ll)
+    raw = F.zip_with(ll, share, lambda x, s: s * F.exp(x - top))
+    return F.transform(raw, lambda w: w / F.aggregate(raw, F.lit(0.0), lambda t, x: t + x))
+
+
+def chain_posteriors(items: DataFrame, prior: float = 4.0) -> DataFrame:
+    """(source, field, item, chain, p_sound) of the distinct items that some chain could have made: the likeliest one and the posterior of soundness.
+
+    `items` has source, field and item; a null source is a source of its own. Items that are not
+    among the rows are sound.
+    """
+    n_chains = len(CHAINS)
+    counts = cut_lineage(items.groupBy("source", "field", "item").agg(F.count("*").alias("n")))
+    ll = _likelihoods(counts.groupBy("item").agg(F.sum("n").alias("n")))
+    suspects = cut_lineage(counts.join(ll, "item"))
+    start = [0.9] + [0.1 / (n_chains - 1)] * (n_chains - 1)
+    top = F.array_max("ll")
+    classed = suspects.select("source", "field", "n", F.transform("ll", lambda x: F.greatest(F.round((x - top) / STEP) * STEP, F.lit(FAR_CLASS))).alias("ll"))
+    classed = classed.groupBy("source", "field", "ll").agg(F.sum("n").alias("n"))
+    # items that no chain could have made are one class more
+    plain = counts.join(ll.select("item"), "item", "left_anti").groupBy("source", "field").agg(F.sum("n").alias("n"))
+    plain = plain.select("source", "field", F.array(F.lit(0.0), *[F.lit(FAR_CLASS)] * (n_chains - 1)).alias("ll"), "n")
+
+    def em(pdf: pd.DataFrame) -> pd.DataFrame:
+        weight, n, share = np.exp(np.stack(pdf.ll)), pdf.n.to_numpy(float), np.array(start)
+        for _ in range(ROUNDS):
+            joint = weight * share
+            new = n @ (joint / joint.sum(1, keepdims=True)) + prior * np.array(start)
+            new, old = new / new.sum(), share
+            share = new
+            if np.abs(new - old).max() <= TOLERANCE:
+                break
+        return pdf[["source", "field"]].head(1).rename(columns={"source": "s", "field": "f"}).assign(share=[share.tolist()])
 
     kind = items.schema["source"].dataType.simpleString()
-    scored = cut_lineage(counts.mapInArrow(score, f"source {kind}, field STRING, item STRING, n BIGINT, ll ARRAY<DOUBLE>"))
-    start = np.array([0.9] + [0.1 / (len(names) - 1)] * (len(names) - 1))
-    shares = scored.select(F.col("source").alias("s"), F.col("field").alias("f")).distinct().select("s", "f", F.array(*[F.lit(float(x)) for x in start]).alias("share"))
+    shares = cut_lineage(classed.unionByName(plain).groupBy("source", "field").applyInPandas(em, f"s {kind}, f STRING, share ARRAY<DOUBLE>"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f"))
     small = shares.count() <= BROADCAST_SOURCES
 
-    def with_shares(now: DataFrame) -> DataFrame:
-        return scored.join(F.broadcast(now) if small else now, F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f"))).drop("s", "f")
-
-    def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                sums = pd.DataFrame(posterior(pdf) * pdf.n.to_numpy(float)[:, None]).groupby([pdf.source, pdf.field], dropna=False).sum()
-                yield sums.rename_axis(["s", "f"]).set_axis([f"t{k}" for k in range(len(names))], axis=1).reset_index()
-
-    for _ in range(rounds):
-        parts = with_shares(shares).mapInPandas(expected, f"s {kind}, f STRING, " + ", ".join(f"t{k} DOUBLE" for k in range(len(names))))
-        sums = parts.groupBy("s", "f").agg(*[(F.sum(f"t{k}") + float(prior * start[k])).alias(f"t{k}") for k in range(len(names))])
-        total = sum((F.col(f"t{k}") for k in range(1, len(names))), F.col("t0"))
-        shares = cut_lineage(sums.withColumn("total", total).select("s", "f", F.array(*[F.col(f"t{k}") / F.col("total") for k in range(len(names))]).alias("share")))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                p = posterior(pdf)
-                chain = np.where(p[:, 0] >= 0.5, 0, p[:, 1:].argmax(1) + 1)
-                yield pdf[["source", "field", "item"]].assign(chain=[names[c] for c in chain], p_sound=p[:, 0])
-
-    return with_shares(shares).mapInPandas(judge, f"source {kind}, field STRING, item STRING, chain STRING, p_sound DOUBLE")
-
+    def beside(rows: DataFrame, now: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(now) if small else now, same)
 
-def posterior(pdf: pd.DataFrame) -> np.ndarray:
-    """Posterior of every chain (columns) for every row, of its likelihoods `ll` and shares `share`."""
-    joint = np.stack(pdf.ll.to_list()) + np.log(np.stack(pdf.share.to_list()))
-    weight = np.exp(joint - joint.max(1, keepdims=True))
-    return weight / weight.sum(1, keepdims=True)
+    judged = beside(suspects, shares).select("source", "field", "item", posterior(F.col("ll"), F.col("share")).alias("p"))
+    others = F.slice("p", 2, n_chains)
+    best = F.get(F.array(*[F.lit(c) for c in list(CHAINS)[1:]]), F.array_position(others, F.array_max(others)).cast("int") - 1)
+    return judged.select("source", "field", "item", F.when(F.get("p", F.lit(0)) >= 0.5, F.lit("sound")).otherwise(best).alias("chain"), F.get("p", F.lit(0)).alias("p_sound"))
 
 
 def repaired_records(df: DataFrame, key: str, source: str, packed: str) -> DataFrame:

@@ -22,7 +22,7 @@ GARBLE = {
 
 def test_inverse_of_each_chain():
     random.seed(1)
-    scorer = encodings.Scorer({})
+    scorer = encodings.Scorer()
     for name, garble in GARBLE.items():
         hits = 0
         for _ in range(60):
@@ -65,7 +65,7 @@ def test_empty_table(spark):
 def test_long_items_have_no_floor(spark):
     random.seed(3)
     long = lambda: "".join(random.choices(KANJI + KANA, k=300))
-    scorer = encodings.Scorer({})
+    scorer = encodings.Scorer()
     lossless = {"utf-8 as western", "utf-8 as western, twice", "cp932 as western", "euc_jp as western"}
     data, want = [], {}
     for k, name in enumerate(GARBLE):
@@ -82,6 +82,24 @@ def test_long_items_have_no_floor(spark):
     assert all(got[k]["repaired"] == text for k, text in want.items() if text) and not got[200]["recovered"]
 
 
-def test_frequent_long_garbled_note_is_no_known_word():
-    note = GARBLE["cp932 as western"](KANA * 5)
-    assert note not in encodings.Scorer({note: 0.01}).words
+def test_frequent_garbled_notes_are_no_known_words(spark):
+    note = GARBLE["cp932 as western"](KANA[:6])
+    data = [(k, k % 3, f"/山{'川花雨音'[k % 4]};{note}/") for k in range(400)]
+    got = encodings.repaired_records(spark.createDataFrame(data, "decoded_id BIGINT, dict_id INT, surfaces STRING"), "decoded_id", "dict_id", "surfaces")
+    assert got.where("garbled and recovered").count() == 400 and KANA[:6] in got.first()["repaired"]
+
+
+def test_unrelated_rows_change_nothing(spark):
+    """Records of other sources and words, a hundred times as many, leave the judgement of each record as it is."""
+    random.seed(4)
+    data = []
+    for k in range(300):
+        items = [word() for _ in range(random.randint(1, 3))]
+        if k % 5 == 0:
+            items = [GARBLE[random.choice(list(GARBLE))](i) for i in items]
+        data.append((k, k % 3, "/" + "/".join(items) + "/"))
+    own = spark.createDataFrame(data, "decoded_id BIGINT, dict_id INT, surfaces STRING")
+    other = spark.range(30_000).selectExpr("id + 1000 AS decoded_id", "CAST(100 + id % 7 AS INT) AS dict_id", "concat('/ま', translate(CAST(id AS STRING), '0123456789', 'ぱぴぷぺぽがぎぐげご'), '/') AS surfaces")
+    judge = lambda df: sorted(tuple(r) for r in encodings.repaired_records(df, "decoded_id", "dict_id", "surfaces").where("decoded_id < 1000").collect())
+    alone = judge(own)
+    assert alone == judge(own.unionByName(other)) and sum(r[1] for r in alone) >= 57

@@ -32,14 +32,16 @@ class PackedTokenizer:
     - An opening mark without its closing one is an ordinary character.
     - Brackets at the start of a value wrap the list; those inside a value nest.
     - Empty values are dropped and take no place; repeated values stay.
+    - With `escape`, that character makes the next one ordinary, within quotes too, and separates
+      nothing itself; at the end of the field it stands for itself.
     """
 
-    def __init__(self, separators: str = SEPARATORS, quotes: dict[str, str] = QUOTES, brackets: dict[str, str] = BRACKETS):
-        self.separators, self.quotes, self.brackets = frozenset(separators), dict(quotes), dict(brackets)
+    def __init__(self, separators: str = SEPARATORS, quotes: dict[str, str] = QUOTES, brackets: dict[str, str] = BRACKETS, escape: str | None = None):
+        self.separators, self.quotes, self.brackets, self.escape = frozenset(separators) - {escape}, dict(quotes), dict(brackets), escape
         self.closing = frozenset(brackets.values())
-        special = "".join(map(re.escape, sorted(self.separators | set(brackets) | self.closing)))
+        special = "".join(map(re.escape, sorted(self.separators | set(brackets) | self.closing | ({escape} if escape else set()))))
         self.run = re.compile(f"[^{special}]+")
-        self.until = {q: re.compile(f"[^{re.escape(q)}]+") for q in set(quotes.values())}
+        self.until = {q: re.compile(f"[^{re.escape(q)}{re.escape(escape or '')}]+") for q in set(quotes.values())}
 
     def __call__(self, text: str | None) -> list[str]:
         if not text:
@@ -50,7 +52,10 @@ class PackedTokenizer:
         fresh, dead = True, set()  # fresh: no character of the value yet; dead: marks known to have no closing one
         while at < n:
             ch = text[at]
-            if fresh and ch not in self.separators and ch.isspace():
+            if ch == self.escape and at + 1 < n:
+                item.append(text[at + 1])
+                fresh, at = False, at + 2
+            elif fresh and ch not in self.separators and ch.isspace():
                 at += 1
             elif fresh and ch in self.quotes and ch not in dead:
                 body, end = self._quoted(text, at, self.quotes[ch])
@@ -85,10 +90,14 @@ class PackedTokenizer:
         """The text within quotes from `at`, and the position after the closing mark; -1 where there is none."""
         parts, at = [], at + 1
         while at < len(text):
-            if text[at] != close:
-                m = self.until[close].match(text, at)
+            if text[at] == self.escape and at + 1 < len(text):
+                parts.append(text[at + 1])
+                at += 2
+            elif m := self.until[close].match(text, at):
                 parts.append(m[0])
                 at = m.end()
+            elif text[at] != close:  # an escape at the end
+                return "", -1
             elif text.startswith(close, at + 1):
                 parts.append(close)
                 at += 2
@@ -103,14 +112,15 @@ class PackedTokenizer:
         item.clear()
 
 
-def packed_values(packed: Column, tokenizer: PackedTokenizer | None = None) -> Column:
-    """array<string> of the values in `packed`; null and empty fields give an empty array."""
+def packed_values(packed: Column, tokenizer: PackedTokenizer | None = None, least: int = 1) -> Column:
+    """array<string> of the values in `packed`; null and empty fields, and those with fewer than `least`, give an empty array."""
     split = tokenizer or PackedTokenizer()
 
     @F.pandas_udf(T.ArrayType(T.StringType(), False))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(split, na_action=None)
+            lists = [split(x) for x in batch]
+            yield pd.Series([x if len(x) >= least else [] for x in lists], dtype=object)
 
     return run(packed)
 
@@ -121,8 +131,9 @@ def unpack(df: DataFrame, packed: str, keys: list[str], least: int = 1, tokenize
     Repeated rows of (keys, packed) count once; rows with different fields under one
     key all give their values. Fields with fewer than `least` values give no row.
     Other columns of `df` are left out, so their names can't clash.
+
+    A field is tokenized where it is read, once; one shuffle, combined before it, removes copies.
     """
     narrow = df.select(*[df[k].alias(f"k{i}") for i, k in enumerate(keys)], df[packed].alias("packed")).where("packed is not null and packed <> ''")
-    lists = narrow.distinct().withColumn("items", packed_values(F.col("packed"), tokenizer)).where(F.size("items") >= least)
-    rows = lists.select(*[F.col(f"k{i}") for i in range(len(keys))], F.posexplode("items").alias("p", "value"))
+    rows = narrow.select(*[F.col(f"k{i}") for i in range(len(keys))], F.posexplode(packed_values(F.col("packed"), tokenizer, least)).alias("p", "value"))
     return rows.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], (F.col("p") + 1).alias("pos"), "value").distinct()

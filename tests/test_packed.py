@@ -49,3 +49,20 @@ def test_unpack_cases(spark):
     df = spark.createDataFrame(data, "entry_id BIGINT, surfaces STRING, pos INT")  # a clashing name
     assert rows(unpack(df, "surfaces", ["entry_id"], least=2)) == sorted([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (5, 1, "p"), (5, 2, "q"), (5, 1, "r"), (5, 2, "s"), (None, 1, "m"), (None, 2, "n")], key=str)
     assert rows(unpack(df.limit(0), "surfaces", ["entry_id"])) == []
+
+
+def test_escapes():
+    cut = PackedTokenizer(escape="\\")
+    assert cut("a\\,b,c") == ["a,b", "c"]
+    assert cut('"a\\"b",\\"c') == ['a"b', '"c']
+    assert cut("\\[a,b]\\") == ["[a", "b]\\"]
+    assert cut('"ab\\') == ['"ab\\']
+    assert PackedTokenizer()("a\\,b") == ["a", "b"]
+
+
+def test_one_tokenizer_and_one_shuffle(spark):
+    df = spark.createDataFrame([(1, "a,b"), (1, "a,b"), (1, "a,c"), (2, "x"), (3, None), (4, "")], "entry_id INT, surfaces STRING")
+    got = unpack(df, "surfaces", ["entry_id"], least=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange") == 1
+    assert rows(got) == [(1, 1, "a"), (1, 2, "b"), (1, 2, "c")]

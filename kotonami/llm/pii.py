@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +81,7 @@ _FILE = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js|py|txt|md)$", re.I)
 LINK = re.compile(r"(?:https?|ftp)://[^\s。、」）)>\]]+|www\.[^\s。、」）)>\]]+")
 
 PHONE = re.compile(
-    r"(?<![\w+./-])(?<![\d)] )(?:"
+    r"(?<![A-Za-z0-9_+./-])(?<![\d)] )(?:"
     r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?[ .-]?\d{2,4}[ .-]?\d{3,4}|\+\d{10,13}"
     r"|\(0\d{1,4}\)[ -]?\d{1,4}[ .-]?\d{3,4}|0\d{1,4}\(\d{1,4}\)\d{3,4}"
     r"|0\d{1,4}([ .-])\d{1,4}\1\d{3,4}|0\d{9,10}"
@@ -95,6 +94,8 @@ ID_NUMBER = re.compile(
     r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|\d{2,4}-\d{4,6}(?:-\d{1,6})?|\d{7,11}"
     r")(?![A-Za-z0-9])(?!-\d)"
 )
+#: Issuers' beginnings and lengths of payment cards.
+_CARD = re.compile(r"4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11,16}|(?:6011|65\d\d|64[4-9]\d)\d{12,15}|35(?:2[89]|[3-8]\d)\d{12,15}|62\d{14,17}")
 ID_WORDS = re.compile(r"個人番号|マイナンバー|免許証|旅券|パスポート|在留カード|保険証|被保険者|年金番号|口座番号|カード番号|身分証|社会保障|passport|social security|\bSSN\b|licen[cs]e|\bID card|identity|national id|insurance n|taxpayer|card number|\bIBAN\b", re.I)
 PHONE_WORDS = re.compile(r"電話|携帯|連絡先|ファックス|\bTEL\b|\bFAX\b|\bphone|\bcall|\bring\b|\bmobile|\btext me", re.I)
 OTHER_NUMBERS = re.compile(r"ビルド|伝票|注文|型番|品番|\bbuild|\bver\.|\bversion|\bISO\b|#|\border\b|\bpages\b|\bentries\b", re.I)
@@ -102,11 +103,19 @@ OTHER_NUMBERS = re.compile(r"ビルド|伝票|注文|型番|品番|\bbuild|\bver
 _NUM = r"(?:[0-9]{1,5}|[一二三四五六七八九十百〇]{1,4})"
 _PREFECTURE = r"(?:北海道|東京都|京都府|大阪府|[一-鿿]{2,3}県)"
 _PLACE = r"[一-鿿々ヶケノツ]"
+_BLOCK = rf"(?:(?:[東西南北]?{_NUM}条[東西南北]?)?{_NUM}丁目(?:{_NUM}(?:番地?(?:の?{_NUM}号?)?|(?:-[0-9]{{1,4}}){{1,2}}|号)?)?|{_NUM}番地?(?:の?{_NUM}号?)?|[0-9]{{1,4}}(?:-[0-9]{{1,4}}){{1,3}}|[0-9]{{1,5}}号)"
+_TOWNS = rf"(?:{_PLACE}{{1,7}}?[市区郡町村])+"
+#: Kana stand in a town's name only behind a prefecture.
 ADDRESS = re.compile(
-    rf"(?:〒 ?)?(?:(?<!\d)\d{{3}}-\d{{4}} ?)?(?:{_PREFECTURE}|(?<![一-鿿々ヶケノァ-ヶ]))(?:{_PLACE}{{1,7}}?[市区郡町村])+{_PLACE}{{0,8}}?"
-    rf"(?:{_NUM}丁目(?:{_NUM}(?:番地?(?:の?{_NUM}号?)?|(?:-[0-9]{{1,4}}){{1,2}}|号)?)?|{_NUM}番地?(?:の?{_NUM}号?)?|[0-9]{{1,4}}(?:-[0-9]{{1,4}}){{1,3}}|[0-9]{{1,5}}号)"
-)
-STREET = re.compile(r"(?<![\w.-])\d{1,5}[A-Z]? (?:[NSEW]\. )?[A-Z][a-z]+(?:[ -][A-Z][a-z]+){0,3} (?:Road|Rd|Street|St|Lane|Ln|Avenue|Ave|Drive|Dr|Way|Court|Ct|Place|Pl|Terrace|Row|Close|Square|Sq|Hill|Boulevard|Blvd)\b")
+    rf"(?:〒 ?)?(?:(?<!\d)\d{{3}}-\d{{4}} ?)?(?:{_PREFECTURE}{_TOWNS}(?:{_PLACE}|[ぁ-んァ-ヶー](?![、。]))" rf"{{0,10}}?"
+    rf"|(?<![一-鿿々ヶケノァ-ヶ]){_TOWNS}(?:{_PLACE}|の(?=[一-鿿])){{0,8}}?){_BLOCK}"
+)
+_STREET_KIND = "Road|Rd|Street|St|Lane|Ln|Avenue|Ave|Drive|Dr|Way|Court|Ct|Place|Pl|Terrace|Row|Close|Square|Sq|Hill|Boulevard|Blvd|Crescent|Highway|Hwy|Parkway"
+STREET = re.compile(
+    rf"(?<![\w.-])\d{{1,5}}[A-Z]? (?:[NSEW]\. )?[A-Z][a-z]+(?:[ -][A-Z][a-z]+){{0,3}} (?:{_STREET_KIND})\b"
+    r"|\bP\.? ?O\.? Box \d{1,6}\b|(?<![\w.-])\d{1,4},? (?:rue|avenue|boulevard|place|chemin) (?:d[eu]s? |de la )?[A-ZÉ][\wé]+"
+    r"|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|platz|allee|gasse) \d{1,4}[a-z]?\b"
+)
 
 _KANJI_NAME = r"[一-鿿々][一-鿿々ヶケノ]{0,4}(?: ?[一-鿿々]{1,4}(?:[ぁ-ん]{1,3})?|(?: [ぁ-ん]{1,6}))?"
 _KANA_NAME = r"[ァ-ヶー]{2,9}(?: [ァ-ヶー]{2,7})?|[ぁ-んー]{2,9} [ぁ-んー]{2,7}"
@@ -114,25 +123,35 @@ _LATIN_WORD = r"(?:[A-Z][a-z]+(?:-[A-Z][a-z]+)?|[A-Z]{2,}|(?:Mc|O')[A-Z][a-z]+)"
 _LATIN_NAME = rf"{_LATIN_WORD}(?: [A-Z]\.)?(?: {_LATIN_WORD}){{1,2}}|{_LATIN_WORD}, {_LATIN_WORD}(?: [A-Z]\.)?"
 _ANY_NAME = rf"(?:{_LATIN_NAME}|{_KANA_NAME}|{_KANJI_NAME})"
 _HONORIFIC = r"(?:さん|様|さま|氏(?!名)|先生|ちゃん|くん|君|殿)"
+_PARTICLE = r"(?:から|より|まで|に|へ|が|を|は|の|と|も|、|。|宛|で|,|\.|!|！|\n|$)"
+_BEFORE = r"(?:^|(?<=[。、\n>「『(（ 　:]))"
+_ROLES = "部長|課長|係長|社長|会長|議長|店長|院長|校長|委員長|代表|主任|主査|秘書|理事|監督|選手|教授|講師|医師|弁護士|記者|首相|知事|市長|担当|担当者|同僚|友人|知人|先輩|後輩|夫|妻|息子|娘|長男|長女|次男|次女|兄|姉|弟|妹|従兄|従姉|恩師|作家|画家|歌手|俳優"
+_LIFE = "生まれ|育った|に移り|移り住|引っ越|卒業|入学|留学|就職|入社|退職|転職|就任|退任|結婚|離婚|入院|退院|死去|亡くな|出席し|欠席し|会見し"
+_LATIN_VERBS = "said|says|told|tells|wrote|writes|called|calls|asked|asks|replied|reports|reported|confirmed|confirms|suggested|suggests|noted|mentioned|explained|agreed|thinks|thought|noticed|joined|works|worked|lives|lived|moved|sent|phoned|emailed|answered|claims|claimed|believes|wants|pointed out|complained|promised|signed|resigned|died|married|was born|is our|is the author"
+_LATIN_TO = "spoke|speak|talk|talked|talking|meet|met|meeting|contact|contacted|ask|asked|call|called|email|emailed|write|wrote|forward|forwarded|send|sent|reply|replied|thank|thanks|thanked|credit|kudos|credits|invite|invited|hired|tell|told|help|helped|mail|mailed|ping|assigned|addressed|introduced|married|interview|interviewed|according|reported|signed|written|reviewed|found|filed|confirmed|noted|dear"
+_SIGN_OFF = r"(?:(?:Kind|Best|Warm|Many|With|Warmest|Kindest) )?(?:[Rr]egards|[Ww]ishes|[Tt]hanks|Sincerely|Cheers|Best|Yours truly|Yours sincerely|Yours faithfully|Sincerely yours|Thank you|Take care)"
 #: (pattern, group of the name, score): names in their contexts, on folded text.
 NAME_CONTEXTS = [
-    (re.compile(rf"(?:氏名|名前|担当者?|登録名|差出人|送信者|宛名|受取人|名義人?|署名|申請者)[ :=「『]+({_ANY_NAME})(?=[」』（(\n、。;／/]|$| *[\n<])"), 1.2),
-    (re.compile(rf"(?<![一-鿿々ァ-ヶーA-Za-z])({_ANY_NAME})(?=と申します)"), 1.2),
-    (re.compile(rf"(?<=[、。 \n])({_ANY_NAME})(?=宛で|宛に|宛です)"), 1.2),
-    (re.compile(rf"(?<![一-鿿々ァ-ヶーA-Za-z])({_KANJI_NAME}|{_KANA_NAME})(?={_HONORIFIC}(?:に聞い|から|に|へ|が|を|は|の|と|も|、|。|宛))"), 0.8),
-    (re.compile(rf"昨日、({_ANY_NAME})(?={_HONORIFIC})"), 1.2),
-    (re.compile(rf"(?:^|(?<=[。\n>「 ]))({_ANY_NAME})(?=は(?:〒|{_PREFECTURE}|{_PLACE}{{1,6}}[市郡区]).{{3,60}}に移り)"), 1.2),
-    (re.compile(rf"(?:お世話になっております|はじめまして|いつも使っています|こんにちは)[。！!]\s*({_ANY_NAME})(?=です[。！!\n])"), 1.1),
+    (re.compile(rf"(?:氏名|名前|担当者?|責任者|承認者|代表者?|作成者|執筆者|著者|契約者|登録名|差出人|送信者|送り主|届け先|宛名|受取人|名義人?|署名|申請者)[ :=「『]+({_ANY_NAME})(?=[」』（(\n、。;／/]|$| *[\n<])"), 1.2),
+    (re.compile(rf"(?<![一-鿿々ァ-ヶーA-Za-z])({_ANY_NAME})(?=と申します|といいます。|と名乗)"), 1.2),
+    (re.compile(rf"(?:{_BEFORE}|(?<=[はがをへ]))({_ANY_NAME})(?=宛(?:で|に|です|ての|の|。|、))"), 1.2),
+    (re.compile(rf"(?<![一-鿿々ァ-ヶーA-Za-z])({_KANJI_NAME}|{_KANA_NAME})(?={_HONORIFIC}{_PARTICLE})"), 1.0),
+    (re.compile(rf"(?:{_ROLES})の({_KANJI_NAME})(?=が|は|を|に|と|も|から|より|へ|、|。|です|$)"), 0.7),
+    (re.compile(rf"(?:私|僕|俺|わたし|わたくし)は({_ANY_NAME})(?=です|といい|と言い|と申|でござ)"), 1.0),
+    (re.compile(rf"{_BEFORE}({_ANY_NAME})(?=は[^。\n]{{0,60}}(?:{_LIFE}))"), 0.7),
+    (re.compile(rf"(?:お世話になっております|はじめまして|いつも使っています|こんにちは|こんばんは|おはようございます|初めまして)[。！!]\s*({_ANY_NAME})(?=です[。！!\n])"), 1.1),
     (re.compile(rf"(?:^|(?<=[。\n> ]))({_ANY_NAME})(?=です(?:[。！!\n]|$))"), 0.6),
-    (re.compile(rf"\b(?:According to|according to|Thanks to|thanks to|Reported by|reported by|Signed by|Regards,|Sincerely,|Cheers,|Dear|I am|I'm|My name is|my name is|From:|Author:|Contact:?|I wrote to|Mail|Ask|Call)\s+({_LATIN_NAME})"), 1.0),
-    (re.compile(rf"\bThanks to (?:{_ANY_NAME}) and ({_ANY_NAME})(?= for)"), 1.2),
-    (re.compile(rf"\bThanks to ({_ANY_NAME})(?= and | for)"), 1.2),
-    (re.compile(rf"\b(?:According to|Reported by) ({_ANY_NAME})(?=,? | <)"), 1.0),
+    (re.compile(rf"\b(?i:(?:{_LATIN_TO})(?: (?:this|it|that|them|back|again))?(?: (?:to|with|by|from|for))?:?)\s({_LATIN_NAME})"), 1.0),
+    (re.compile(rf"\b(?:I am|I'm|[Mm]y name is|[Tt]his is|[A-Z][a-z]+(?:-[a-z]+)*-by:|From:|To:|Name:|Author:|Contact:?|Attn:?|Assignee:|Reporter:|Sender:|Customer:)\s+({_LATIN_NAME})"), 1.0),
+    (re.compile(rf"\b(?:According to|Thanks to|Reported by|Credit to|Signed by|Asked by|Suggested by) ({_ANY_NAME})(?=,| <| and | for|\.|\n)"), 1.2),
     (re.compile(rf"\b(?:Mr|Ms|Mrs|Miss|Dr|Prof)\.? ({_LATIN_NAME}|{_LATIN_WORD})"), 1.2),
-    (re.compile(rf"(?:^|(?<=[.!?\n>] )|(?<=\n))({_LATIN_NAME}|{_LATIN_WORD})(?= said the same)"), 1.2),
-    (re.compile(rf"\b(?:Regards|Sincerely|Best|Cheers|Thanks),\s*\n>? ?({_LATIN_NAME}|{_LATIN_WORD}|{_KANJI_NAME}|{_KANA_NAME})(?=[ .]*(?:\n|$))"), 1.2),
+    (re.compile(rf"(?<![A-Za-z@./_-])({_LATIN_NAME})(?= (?:{_LATIN_VERBS})\b)"), 1.0),
+    (re.compile(rf"(?:^|(?<=[.!?\n>] )|(?<=\n))({_LATIN_WORD})(?= (?:said|told|asked|replied|wrote) )"), 1.0),
+    (re.compile(rf"\b{_SIGN_OFF},\s*(?:\n>? ?)?({_LATIN_NAME}|{_LATIN_WORD}|{_KANJI_NAME}|{_KANA_NAME})(?=[ .]*(?:\n|$))"), 1.2),
     (re.compile(rf"(?:^|\n)>? ?-- ?\n>? ?({_ANY_NAME})(?= *(?:\n|$))"), 1.2),
 ]
+#: What joins a second name to one that was found: A and B, A、B.
+_NEXT_NAME = re.compile(rf"(?: and | & |(?:{_HONORIFIC})?[、と・])({_ANY_NAME})(?={_HONORIFIC}|[、。,.\n]| for|$)")
 #: Weak places: a line or a sentence that is nothing but a name; only the lexicon can confirm it.
 WEAK_NAMES = [
     re.compile(rf"(?:^|(?<=\n)|(?<=\n> ))({_ANY_NAME}|{_LATIN_WORD})(?= *\.? *(?:\n|$))"),
@@ -142,15 +161,24 @@ WEAK_NAMES = [
 ]
 #: For each name context words of which a text must have one; most texts skip most patterns.
 NAME_TRIGGERS = [re.compile(t) for t in (
-    "氏名|名前|担当|登録名|差出人|送信者|宛名|受取人|名義|署名|申請者", "と申します", "宛[でに]", "さん|様|さま|氏|先生|ちゃん|くん|君|殿", "昨日、", "に移り", "お世話に|はじめまして|いつも使って|こんにちは", "です",
-    "[Aa]ccording to|[Tt]hanks to|eported by|igned by|Regards|incerely|Cheers|Dear|I am|I'm|y name is|From:|uthor:|ontact|I wrote to|Mail|Ask|Call", "Thanks to", "Thanks to", "According to|Reported by", "\\b(?:Mr|Ms|Mrs|Miss|Dr|Prof)\\b", "said the same", "Regards|Sincerely|Best|Cheers|Thanks", "--",
+    "氏名|名前|担当|責任者|承認者|代表|作成者|執筆者|著者|契約者|登録名|差出人|送信者|送り主|届け先|宛名|受取人|名義|署名|申請者", "と申します|といいます。|と名乗", "宛[でにての。、]", "さん|様|さま|氏|先生|ちゃん|くん|君|殿",
+    f"(?:{_ROLES})の", "[私僕俺]は|わたしは|わたくしは", _LIFE, "お世話に|はじめまして|初めまして|いつも使って|こんにちは|こんばんは|おはよう", "です",
+    "[A-Za-z:]\\s[A-Z]", "I am|I'm|y name is|his is|-by:|From:|To:|Name:|uthor:|ontact|Attn|Assignee|Reporter|Sender|Customer", "According to|Thanks to|Reported by|Credit to|Signed by|Asked by|Suggested by", "\\b(?:Mr|Ms|Mrs|Miss|Dr|Prof)\\b", f"(?:{_LATIN_VERBS})", "said|told|asked|replied|wrote", "[Rr]egards|[Ww]ishes|Sincerely|Best|Cheers|[Tt]hank|Yours|Take care", "--",
 )]
 _BLOCK_TRIGGER = re.compile("丁目|番|号|[0-9]-[0-9]")
 _COMPANY_BEFORE = re.compile(r"(?:株式会社|有限会社|合同会社) ?$")
 _COMPANY_AFTER = re.compile(r" ?(?:製作所|商事|商店|工業|銀行|大学|株式会社|有限会社|市|町|村|区|駅|県|郡|Inc\b|Ltd\b|Co\.|LLC\b|Corp|Works\b|Park\b|パーク|ホール|Hall\b|ビル)")
-_NOT_NAMES = re.compile(r"^(?:お客|皆|神|王|奥|仏|殿|各位|担当|弊社|御社|貴社)")
-#: Words of a Latin proposal that begin a sentence rather than a name.
-_LATIN_STOP = frozenset("According Thanks Regards Dear Typing Before After See Step On The It We Closes Rebuilt Candidates Expected Actual My You Mail Reported Cc TEL FAX Social Best Cheers Sincerely API IME PC ROM VOX ISO Salt Harbor Web Unicode".split())
+#: Nouns that take an honorific or stand behind a role without being a name, by beginning, by ending and whole.
+_NOT_NAMES = re.compile(
+    r"^(?:お客|皆|神|王|奥|仏|殿|各位|担当|弊社|御社|貴社|本人|自分|相手|全員|誰|何|先方|当方)"
+    r"|^(?:客|運転手|医者|店員|駅員|社員|会員|職員|患者|業者|記者|学生|生徒|子供|赤|旦那|主人|母|父|兄|姉|弟|妹|祖父|祖母|叔父|叔母|孫|嫁|娘|息子|利用者|参加者|読者|作者|著者|看護師|大家|花嫁|隣|店長|社長|部長|課長|会長|校長|先輩|後輩|同)$"
+)
+_NO_PERSON = re.compile(r"(?:会|部|所|社|力|者|用|的|性|化|見|書|品|物|日|年|月|間|度|等|数|額|面|長|員|後|前|中|時|方|店|国|語|学|校|市|町|村|県|駅|線|号|式|法|表|版|案|件|点|側|内|外|上|下|場|室|館|駅|山|川|島|橋|寺|城|港|人)$")
+#: Capitalised English words that begin a sentence or name no person.
+_LATIN_STOP = frozenset(
+    "A About According After All Also An And Another Any Are As At Attn Avenue Bank Be Because Before Best Both Bug But By Can Cc Cheers City Closes College Committee Company Contact Could Council County Customer Dear Department Did Do Does Each East Either English Error Even Every Expected FAQ FAX Fixes For French From German Go Government Had Has Have He Hello Help Her Here Hi His How Howdy However I If In Instead Is Island Issue It Its Japanese Just Kind Kindly Lake Last Later Let Linux Love Mac Mail Many Market May Maybe Merges Might Monday Most Mount Museum My Network New Next No North Not Note Now OK OS Of Office Often On Once One Only Or Other Our Page Park Patch Perhaps Please Press Previously Re Regards Release Reported Reports Resolves Reverts River Road Section See Server She Should Since Sincerely So Social Some Sometimes South Station Step Still Store Street Sunday Support Sure System TEL Team Test Thank Thanks That The Their Then There These They This Those Though Thus To Today Tomorrow Town Tuesday Typing Ubuntu Unicode University Until Update User Users Version Very Via Was We Web Wednesday Well Were West What When Where Which While Who Why Will Windows With Would Yes Yesterday You Your Zoom Thursday Friday Saturday January February March April June July August September October November December "
+    "API CPU CSV DNS GPU HTML HTTP HTTPS IBAN ID IME IP ISO JSON PC PDF RAM ROM SDK SQL SSH SSN TODO UI URL USB UTF VM XML YAML Actual Candidates".split()
+)
 
 
 def name_parts(name: str) -> list[str]:
@@ -199,7 +227,7 @@ class Finder:
             elif raw.isdigit() and len(raw) == 12:
                 score += 0.1 + 0.2 * individual_number(raw)
             elif raw.isdigit() and 13 <= len(raw) <= 19:
-                score += 0.3 * luhn(raw)
+                score += 0.8 * (luhn(raw) and _CARD.fullmatch(raw) is not None)  # check digit, issuer and length agree
             score += 1.0 * self._near(ID_WORDS, text, m, 32, 14) - 1.0 * self._near(OTHER_NUMBERS, text, m, 8, 0)
             yield Span(m.start(), m.end(), "id_number", score)
 
@@ -214,7 +242,12 @@ class Finder:
         for (pattern, base), trigger in zip(NAME_CONTEXTS, NAME_TRIGGERS, strict=True):
             if trigger.search(text):
                 for m in pattern.finditer(text):
-                    yield from self._name(text, m, base)
+                    for s in self._name(text, m, base):
+                        yield s
+                        while s and s.score >= 1 and (m := _NEXT_NAME.match(text, s.end)):
+                            s = next(self._name(text, m, 1.0 if m[0].startswith(" ") else 0.7), None)
+                            if s:
+                                yield s
         if self.known:
             for pattern in WEAK_NAMES:
                 for m in pattern.finditer(text):
@@ -246,6 +279,8 @@ class Finder:
             end -= len(words[-1]) - cut
             name = text[start:end]
         score = base
+        if base == 0.7 and re.fullmatch(r"[一-鿿々]{3,5}|[一-鿿々]{1,3} [一-鿿々]{1,3}|[ァ-ヶー]+ [ァ-ヶー]+", name) and not _NO_PERSON.search(name):
+            score += 0.3  # the shape of a full name
         if _COMPANY_BEFORE.search(text[max(0, start - 6) : start]) or _COMPANY_AFTER.match(text, end):
             score -= 1.5
         if self.known:
@@ -303,10 +338,12 @@ class Finder:
 
     def redacted(self, text: str | None) -> str | None:
         """The text with a typed placeholder for every mention; null stays null."""
-        if text is None:
-            return None
+        return None if text is None else self.replaced(text, self.spans(text))
+
+    @staticmethod
+    def replaced(text: str, spans: list[Span]) -> str:
         out, at = [], 0
-        for s in self.spans(text):
+        for s in spans:
             out += [text[at : s.start], PLACEHOLDERS[s.kind]]
             at = s.end
         return "".join([*out, text[at:]])
@@ -378,30 +415,32 @@ def _with_finders(rows: DataFrame, work: Callable[[pa.RecordBatch, Iterable[Find
     return hashed.join(asked.groupBy("h").agg(F.collect_set("part").alias("parts")), "h", "left").mapInArrow(own, schema)
 
 
-def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, start_pos, end_pos, score) of every mention, positions in code points from 0.
+def annotated_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, spans, redacted) of every row: its mentions, array of (kind, start_pos, end_pos, score), and the text with typed placeholders.
 
-    Null and empty texts give no row; repeated rows give repeated mentions.
+    Positions are in code points from 0. A null text has no mentions and stays null. The lexicon
+    of names is learned once, then one pass over the texts gives both.
     """
-    rows = df.where(df[text].isNotNull()).select(df[key].alias("key"), df[text].alias("text"))
+    rows = df.select(df[key].alias("key"), df[text].alias("text"))
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("score", pa.float64())]))
 
-    def find(batch: pa.RecordBatch, finders: Iterable[Finder]) -> pa.RecordBatch:
-        lists = [f.spans(t) for t, f in zip(batch.column("text").to_pylist(), finders)]
-        where = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-        flat = [s for x in lists for s in x]
-        return pa.record_batch({"key": batch.column("key").take(where), "kind": pa.array([s.kind for s in flat], pa.string()), "start_pos": pa.array([s.start for s in flat], pa.int32()), "end_pos": pa.array([s.end for s in flat], pa.int32()), "score": pa.array([s.score for s in flat], pa.float64())})
+    def annotate(batch: pa.RecordBatch, finders: Iterable[Finder]) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        lists = [f.spans(t) for t, f in zip(texts, finders)]
+        spans = [[{"kind": s.kind, "start_pos": s.start, "end_pos": s.end, "score": s.score} for s in x] for x in lists]
+        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, span), pa.array(map(Finder.replaced, texts, lists), pa.string())], ["key", "spans", "redacted"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return _with_finders(rows, find, f"key {kind}, kind STRING, start_pos INT, end_pos INT, score DOUBLE").withColumnRenamed("key", key)
+    found = _with_finders(rows.where("text is not null"), annotate, f"key {kind}, spans ARRAY<STRUCT<kind: STRING, start_pos: INT, end_pos: INT, score: DOUBLE>>, redacted STRING")
+    none = rows.where("text is null").select("key", F.array().cast(found.schema["spans"].dataType).alias("spans"), F.col("text").alias("redacted"))
+    return found.unionByName(none).withColumnRenamed("key", key)
 
 
-def redacted_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text) with typed placeholders; null texts stay null."""
-    rows = df.select(df[key].alias("key"), df[text].alias("text"))
+def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, start_pos, end_pos, score) of every mention. Repeated rows give repeated mentions."""
+    return annotated_texts(df, key, text).select(key, F.explode("spans").alias("s")).select(key, "s.*")
 
-    def mend(batch: pa.RecordBatch, finders: Iterable[Finder]) -> pa.RecordBatch:
-        return pa.record_batch({"key": batch.column("key"), "text": pa.array([f.redacted(t) for t, f in zip(batch.column("text").to_pylist(), finders)], pa.string())})
 
-    kind = rows.schema["key"].dataType.simpleString()
-    mended = _with_finders(rows.where("text is not null"), mend, f"key {kind}, text STRING")
-    return mended.unionByName(rows.where("text is null")).withColumnRenamed("key", key)
+def redacted_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text) with typed placeholders; null texts stay null."""
+    return annotated_texts(df, key, text).select(key, F.col("redacted").alias("text"))

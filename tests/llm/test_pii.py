@@ -1,4 +1,7 @@
+import os
 import random
+import re
+from collections import Counter
 
 from kotonami.llm import pii
 
@@ -101,3 +104,38 @@ def test_lookups_hold_what_the_search_asks_for():
         text = "".join(random.choices(words, k=12))
         own = pii.Finder().lookups(pii.folded(text))
         assert pii.Finder(lexicon).spans(text) == pii.Finder({p: 3 for p in lexicon if p in own}).spans(text), text
+
+
+def held_out():
+    """(text, its mentions) of sentences written apart from any given table."""
+    with open(os.path.join(os.path.dirname(__file__), "pii_held_out.txt"), encoding="utf-8") as f:
+        for line in f.read().splitlines():
+            text, spans, at = "", set(), 0
+            line = line.replace("\\n", "\n")
+            for m in re.finditer(r"\{(\w+):([^}]*)\}", line):
+                text += line[at : m.start()]
+                spans.add((m[1], len(text)))
+                text, at = text + m[2], m.end()
+            yield text + line[at:], spans
+
+
+def test_held_out_sentences():
+    finder, both, missed, wrong = pii.Finder(), Counter(), Counter(), Counter()
+    for text, want in held_out():
+        got = {(s.kind, s.start) for s in finder.spans(text)}
+        for c, found in ((both, want & got), (missed, want - got), (wrong, got - want)):
+            c.update(k for k, _ in found)
+    for kind in pii.KINDS:
+        assert both[kind] >= 0.9 * (both[kind] + missed[kind]) and both[kind] >= 0.9 * (both[kind] + wrong[kind]), kind
+
+
+def test_a_valid_card_number_needs_no_words():
+    find = lambda t: [(s.kind, t[s.start : s.end]) for s in pii.Finder().spans(t)]
+    assert find("It was 4111 1111 1111 1111 then") == [("id_number", "4111 1111 1111 1111")]
+    assert find("It was 4111 1111 1111 1112 then") == [] and find("It was 1673882056003 then") == []
+
+
+def test_mentions_and_redaction_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "電話　090-1234-5678。"), (2, None), (None, "")], "doc_id BIGINT, text STRING")
+    got = {r["doc_id"]: (r["spans"], r["redacted"]) for r in pii.annotated_texts(df, "doc_id", "text").collect()}
+    assert got[1][1] == "電話　[PHONE]。" and [tuple(s)[:3] for s in got[1][0]] == [("phone", 3, 16)] and got[2] == ([], None) and got[None] == ([], "")

@@ -116,9 +116,42 @@ def missing_keys(dictionary: DataFrame, required: list[str]) -> DataFrame:
     return need.join(dictionary.select("yomi"), "yomi", "left_anti")
 
 
+def in_known_characters(dictionary: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """`dictionary` (yomi, surfaces) without candidates that hold a character which no text has, such as those of a wrong decoding.
+
+    Tables of characters are bounded by the alphabet, so they are broadcast. Readings that lose all candidates go.
+    """
+    characters = lambda df, c: df.select(F.explode(F.array_distinct(F.split(c, ""))).alias("ch")).distinct()
+    rows = to_rows(dictionary)
+    surfaces = rows.select("surface").distinct()
+    strange = characters(surfaces, "surface").join(F.broadcast(characters(texts.where(F.col(text).isNotNull()), text)), "ch", "left_anti")
+    bad = surfaces.select("surface", F.explode(F.array_distinct(F.split("surface", ""))).alias("ch")).join(F.broadcast(strange), "ch", "left_semi").select("surface").distinct()
+    return grouped(rows.join(bad, "surface", "left_anti"), ["pos"])
+
+
+def first_uses(rows: DataFrame) -> DataFrame:
+    """(yomi, surfaces) of annotated words (sent_id, i, yomi, surface): each candidate once, in order of its first use."""
+    first = rows.where("yomi <> '' and surface <> ''").groupBy("yomi", "surface").agg(F.min(F.struct("sent_id", "i")).alias("at"))
+    return grouped(first, ["at"])
+
+
 def system_dictionary(base: DataFrame, vocab: DataFrame, corpus_rows: DataFrame, unidic: DataFrame) -> DataFrame:
-    """The base dictionary, the vocabulary, annotated corpora (yomi, surface, ordered by sent_id, i) and katakana words, merged in this order."""
-    return merge_dictionaries([cleaned(base), grouped(from_vocabulary(vocab), ["word"]), grouped(corpus_rows, ["sent_id", "i"]), unidic])
+    """The base dictionary, the vocabulary, annotated corpora (sent_id, i, yomi, surface) and katakana words, merged in this order.
+
+    A candidate list holds distinct candidates at every step, however often the corpora use them.
+    """
+    return merge_dictionaries([cleaned(base), grouped(from_vocabulary(vocab), ["word"]), first_uses(corpus_rows), unidic])
+
+
+def of_usage(entries: DataFrame, configs: DataFrame, usage: str) -> DataFrame:
+    """Entries (dict_id, ...) of the dictionaries that are configured for `usage`: Normal, SingleTerm or Disabled, in any case; none is Normal.
+
+    A dictionary type other than SKK is an error.
+    """
+    kind = F.upper(F.trim(F.coalesce("dict_type", F.lit("SKK"))))
+    known = configs.where(F.lower(F.trim(F.coalesce("usage", F.lit("Normal")))) == usage.lower())
+    known = known.select("dict_id", F.when(kind == "SKK", True).otherwise(F.raise_error(F.concat(F.lit("unknown dictionary type: "), kind)).cast("boolean")).alias("_known"))
+    return entries.join(F.broadcast(known.where("_known").select("dict_id")), "dict_id", "left_semi")
 
 
 def prefix_hits(readings: DataFrame, keys: DataFrame, reading: str = "reading", max_length: int | None = None) -> DataFrame:

@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 from kotonami.functions.text import lcs_length, trim_unicode
 
 
+def judged_lines(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """(keys, yomi, surface, reason) of evaluation lines; comments, null and blank lines are none.
+
+    A line is cut at its first blank, and bars go from both halves. A line without a blank has
+    the reason 'no blank' in place of a reading and a surface.
+    """
+    t = lines.select(*keys, trim_unicode(F.col(line)).alias("t")).where("t <> '' and not startswith(t, '#')")
+    half, good = F.split("t", " ", 2), F.col("t").contains(" ")
+    bare = lambda c: F.replace(c, F.lit("|"), F.lit(""))
+    return t.select(*keys, F.when(good, bare(half[0])).alias("yomi"), F.when(good, bare(F.get(half, F.lit(1)))).alias("surface"), F.when(~good, "no blank").alias("reason"))
+
+
 def eval_rows(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(yomi, surface) of evaluation lines; comments, blank lines and lines without a blank are left out."""
-    t = lines.select(trim_unicode(F.col(line)).alias("t")).where("t <> '' and not startswith(t, '#') and contains(t, ' ')")
-    half = F.split("t", " ", 2)
-    return t.select(F.replace(half[0], F.lit("|"), F.lit("")).alias("yomi"), F.replace(half[1], F.lit("|"), F.lit("")).alias("surface"))
+    """(yomi, surface) of evaluation lines; a line without a blank is an error."""
+    rows = judged_lines(lines, [], line)
+    return rows.select(F.when(F.col("reason").isNull(), F.col("yomi")).otherwise(F.raise_error(F.lit("an evaluation line has no blank"))).alias("yomi"), "surface")
 
 
 def scores(pairs: DataFrame, expected: str = "surface", got: str = "got") -> DataFrame:

@@ -120,8 +120,8 @@ def adjacent(node: DataFrame, columns: list[str]) -> DataFrame:
     return left.join(right, ["sent_id", "_at"]).where("prev_idx <> node_idx").drop("_at")
 
 
-def edges(node: DataFrame, bigram: DataFrame, default_cost: float, user_bigram: DataFrame | None = None) -> DataFrame:
-    """(sent_id, prev_idx, node_idx, edge_cost): the user's cost, else the model's for two known words, else the default."""
+def known_edges(node: DataFrame, bigram: DataFrame, user_bigram: DataFrame | None = None) -> DataFrame:
+    """(sent_id, prev_idx, node_idx, edge_cost) of the edges that the user's pairs (key, cost) or the model (id1, id2, cost) know; all others cost the default."""
     met = adjacent(node.withColumn("key", word_key(F.col("surface"), F.col("yomi"))), ["word_id", "key"])
     lm = bigram.select(F.col("id1").alias("prev_word_id"), F.col("id2").alias("word_id"), F.col("cost").alias("lm_cost"))
     out = met.join(lm, ["prev_word_id", "word_id"], "left")
@@ -130,7 +130,13 @@ def edges(node: DataFrame, bigram: DataFrame, default_cost: float, user_bigram:
         out = out.withColumn("pair", F.concat("prev_key", F.lit("\t"), "key")).join(own, "pair", "left")
     else:
         out = out.withColumn("user_cost", F.lit(None).cast("double"))
-    return out.select("sent_id", "prev_idx", "node_idx", F.coalesce("user_cost", "lm_cost", F.lit(float(default_cost))).alias("edge_cost"))
+    return out.select("sent_id", "prev_idx", "node_idx", F.coalesce("user_cost", "lm_cost").alias("edge_cost")).where("edge_cost is not null")
+
+
+def edges(node: DataFrame, bigram: DataFrame, default_cost: float, user_bigram: DataFrame | None = None) -> DataFrame:
+    """(sent_id, prev_idx, node_idx, edge_cost): the user's cost, else the model's for two known words, else the default."""
+    known = known_edges(node, bigram, user_bigram)
+    return adjacent(node, []).join(known, ["sent_id", "prev_idx", "node_idx"], "left").select("sent_id", "prev_idx", "node_idx", F.coalesce("edge_cost", F.lit(float(default_cost))).alias("edge_cost"))
 
 
 def same_span(node: DataFrame) -> DataFrame:

@@ -41,21 +41,49 @@ def sentences(nodes: DataFrame) -> DataFrame:
     return lists.select("sent_id", join("yomi").alias("yomi"), join("surface").alias("surface"))
 
 
+def correct_nodes(nodes: DataFrame) -> DataFrame:
+    """The distinct words (sent_id, surface, yomi) of annotated sentences."""
+    return nodes.select("sent_id", "surface", "yomi").distinct()
+
+
+def word_gains(nodes: DataFrame, step: int) -> DataFrame:
+    """(word, more) of annotated nodes: `step` for every use."""
+    return nodes.groupBy(F.concat_ws("/", "surface", "yomi").alias("word")).agg((F.count("*") * step).alias("more"))
+
+
+def pair_gains(nodes: DataFrame, step: int) -> DataFrame:
+    """(w1, w2, more) of neighbours in annotated nodes: `step` for every one."""
+    words = nodes.select("sent_id", "i", F.concat_ws("/", "surface", "yomi").alias("word"))
+    pairs = with_previous(words, "sent_id", "i", ["word"]).where("prev is not null")
+    return pairs.groupBy(F.col("prev.word").alias("w1"), F.col("word").alias("w2")).agg((F.count("*") * step).alias("more"))
+
+
+def stepped_unigrams(unigram: DataFrame, gains: DataFrame) -> DataFrame:
+    """Counts of known words after gains (word, more); other words stay out, and no count is below zero."""
+    return unigram.join(gains, "word", "left").select("word", "word_id", F.greatest(F.col("cnt") + F.coalesce("more", F.lit(0)), F.lit(0)).alias("cnt"))
+
+
+def stepped_bigrams(bigram: DataFrame, unigram: DataFrame, gains: DataFrame) -> DataFrame:
+    """Counts of pairs after gains (w1, w2, more) of known words: changed or put in, none below zero."""
+    ids = unigram.select("word", "word_id")
+    more = gains.join(ids.toDF("w1", "id1"), "w1").join(ids.toDF("w2", "id2"), "w2").select("id1", "id2", "more")
+    return bigram.join(more, ["id1", "id2"], "full").select("id1", "id2", F.greatest(F.coalesce("cnt", F.lit(0)) + F.coalesce("more", F.lit(0)), F.lit(0)).alias("cnt"))
+
+
 def learn_pass(engine: Engine, teacher: DataFrame, delta: int = 1, sign: int = 1) -> tuple[Engine, int]:
-    """The engine after one pass over annotated nodes, and how many sentences were wrong."""
+    """The engine after one pass over annotated nodes, and how many sentences were wrong.
+
+    Words and pairs of wrong sentences gain `delta`; with sign=-1 they lose it.
+    """
     pairs = sentences(teacher)
     got = best_text(engine.convert(pairs.select("sent_id", "yomi"))).withColumnRenamed("surface", "got")
     wrong = cut_lineage(pairs.join(got, "sent_id", "left").where(~F.col("surface").eqNullSafe(F.col("got"))).select("sent_id"))
     n_wrong = wrong.count()
     if not n_wrong:
         return engine, 0
-    words = teacher.join(wrong, "sent_id", "left_semi").select("sent_id", "i", F.concat_ws("/", "surface", "yomi").alias("word"))
-    more = words.groupBy("word").agg((F.count("*") * delta * sign).alias("more"))
-    unigram = engine.unigram.join(more, "word", "left").select("word", "word_id", F.greatest(F.col("cnt") + F.coalesce("more", F.lit(0)), F.lit(0)).alias("cnt"))
-    ids = engine.unigram.select("word", "word_id")
-    pairs_of = with_previous(words, "sent_id", "i", ["word"]).where("prev is not null").select(F.col("prev.word").alias("w1"), F.col("word").alias("w2"))
-    pair = pairs_of.join(ids.toDF("w1", "id1"), "w1").join(ids.toDF("w2", "id2"), "w2").groupBy("id1", "id2").agg((F.count("*") * delta * sign).alias("more"))
-    bigram = engine.bigram.join(pair, ["id1", "id2"], "full").select("id1", "id2", F.greatest(F.coalesce("cnt", F.lit(0)) + F.coalesce("more", F.lit(0)), F.lit(0)).alias("cnt"))
+    nodes = teacher.join(wrong, "sent_id", "left_semi")
+    unigram = stepped_unigrams(engine.unigram, word_gains(nodes, delta * sign))
+    bigram = stepped_bigrams(engine.bigram, engine.unigram, pair_gains(nodes, delta * sign))
     return replace(engine, unigram=cut_lineage(unigram), bigram=cut_lineage(bigram)), n_wrong
 
 

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kotonami.operators import decode, evaluate, lattice
-from kotonami.operators.costs import smoothed_cost, totals, with_costs
+from kotonami.operators.costs import totals, with_costs
+from kotonami.runtime import cut_lineage
+
+#: Costs are compared to so many digits, so that ties don't hang on the last bits of logarithms.
+COST_DIGITS = 6
 
 
 @dataclass
@@ -50,10 +54,12 @@ class Engine:
             node = node.join(own, F.concat_ws("/", "surface", "yomi") == F.col("_k"), "left").drop("_k")
         else:
             node = node.withColumn("user_cost", F.lit(None).cast("double"))
-        costed = node.withColumn("node_cost", lattice.node_cost(F.col("surface"), F.col("yomi"), F.col("score"), F.col("user_cost"), F.lit(stats["total_words"]), F.lit(stats["unique_words"])))
-        default = self.bigram_stats.first()["default_edge_cost"]
+        cost = lattice.node_cost(F.col("surface"), F.col("yomi"), F.col("score"), F.col("user_cost"), F.lit(stats["total_words"]), F.lit(stats["unique_words"]))
+        costed = cut_lineage(node.withColumn("node_cost", F.round(cost, COST_DIGITS)))
+        default = round(self.bigram_stats.first()["default_edge_cost"], COST_DIGITS)
         own_pairs = with_costs(self.user_bigram, totals(self.user_bigram)) if self.user_bigram is not None else None
-        return costed, lattice.edges(costed, with_costs(self.bigram, self.bigram_stats), default, own_pairs), default
+        edge = lattice.known_edges(costed, with_costs(self.bigram, self.bigram_stats), own_pairs)
+        return costed, edge.withColumn("edge_cost", F.round("edge_cost", COST_DIGITS)), default
 
     def convert(self, readings: DataFrame) -> DataFrame:
         """Ranked candidates of each clause."""
@@ -69,8 +75,3 @@ class Engine:
         """good, bad and recall over pairs (sent_id, yomi, surface)."""
         got = decode.best_text(self.convert(pairs.select("sent_id", "yomi"))).withColumnRenamed("surface", "got")
         return evaluate.scores(pairs.join(got, "sent_id", "left"))
-
-
-def cost_of_nothing(stats: DataFrame) -> DataFrame:
-    """`stats` with the cost of a word never seen and of one seen once."""
-    return stats.withColumn("cost0", smoothed_cost(F.lit(0), F.col("total_words"), F.col("unique_words"))).withColumn("cost1", smoothed_cost(F.lit(1), F.col("total_words"), F.col("unique_words")))

@@ -9,13 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonami.functions.romaji import VOWELS, default_table
-from kotonami.functions.text import DIGITS, GROUPS, PLACES, kansuji, lcs_length
-from kotonami.operators import counts, decode, dictionary, lattice, morph
+from kotonami.functions.text import DIGITS, GROUPS, PLACES, kansuji
+from kotonami.operators import counts, dictionary, lattice, morph
 from kotonami.operators.badrows import read_records
 from kotonami.operators.costs import totals, with_costs
 from kotonami.operators.ordered import distinct_by_group, is_crowded, running
-from kotonami.operators.tokenize import longest_match
-from kotonami.plans.engine import Engine
 from kotonami.runtime import cut_lineage, ensure_checkpoint_dir, table
 from kotonami.sources.readers import novel_lines, wiki_lines
 from kotonami.streaming import userdata
@@ -192,11 +190,6 @@ def eval_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.segments(readings, dictionary_keys(spark, sf_dir))
 
 
-def eval_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lattice nodes of the test readings, without their numbers."""
-    return lattice.nodes(eval_segments(spark, sf_dir), _dictionary(spark, sf_dir)).select("sent_id", "start_pos", "end_pos", "surface", "yomi", "auto_generated")
-
-
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "word_node").where("surface is not null and yomi is not null").distinct()
 
@@ -205,60 +198,11 @@ def _user_costs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return userdata.user_costs(userdata.summed_gains(table(spark, sf_dir, name)))
 
 
-def node_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of lattice nodes: the user's, the model's or those of unknown words."""
-    own = _user_costs(spark, sf_dir, "user_unigram").select("word_key", F.col("cost").alias("user_cost"))
-    joined = _nodes(spark, sf_dir).join(own, F.concat_ws("/", "surface", "yomi") == F.col("word_key"), "left").withColumn("one", F.lit(1))
-    stats = totals(counts.vocabulary(wfreq(spark, sf_dir))).withColumn("one", F.lit(1))
-    costed = joined.join(F.broadcast(stats), "one")
-    cost = lattice.node_cost(F.col("surface"), F.col("yomi"), F.col("score"), F.col("user_cost"), F.col("total_words"), F.col("unique_words"))
-    return costed.select("sent_id", "node_idx", F.round(cost, 6).alias("node_cost"))
-
-
-def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of edges between lattice nodes that meet; a users' pair cost, else the default."""
-    own = _user_costs(spark, sf_dir, "user_bigram").select(F.col("word_key").alias("key"), "cost")
-    none = spark.createDataFrame([], "id1 INT, id2 INT, cost DOUBLE")
-    return lattice.edges(_nodes(spark, sf_dir), none, 8.0, own).select("sent_id", "prev_idx", "node_idx", F.round("edge_cost", 6).alias("edge_cost"))
-
-
 def span_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each span of a lattice."""
     return lattice.same_span(_nodes(spark, sf_dir)).select("sent_id", "start_pos", "end_pos", F.array_join("surfaces", "|").alias("surfaces"))
 
 
-def lattice_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked candidates of every clause of every lattice."""
-    nodes = cut_lineage(_nodes(spark, sf_dir).withColumn("node_cost", F.coalesce("score", F.when(F.octet_length("surface") < F.octet_length("yomi"), 6.0).otherwise(9.0))))
-    own = _user_costs(spark, sf_dir, "user_bigram").select(F.col("word_key").alias("key"), "cost")
-    none = spark.createDataFrame([], "id1 INT, id2 INT, cost DOUBLE")
-    known = lattice.edges(nodes, none, -1.0, own).where("edge_cost >= 0")  # all others cost the default
-    return decode.decode(nodes, known, 8.0)
-
-
-def lattice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by page of ten."""
-    return decode.page(lattice_decoded(spark, sf_dir)).select("sent_id", "clause_i", "rank", "page")
-
-
-def _engine(spark: SparkSession, sf_dir: str) -> Engine:
-    merged = _merged(spark, sf_dir)
-    vocab = cut_lineage(_vocab(spark, sf_dir, merged=merged))
-    return Engine(vocab, cut_lineage(_bigrams(merged, vocab)), cut_lineage(_dictionary(spark, sf_dir)))
-
-
-def eval_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best conversions of the test readings."""
-    readings = table(spark, sf_dir, "eval_item").select(F.col("item_id").cast("bigint").alias("sent_id"), "yomi")
-    return decode.best_text(_engine(spark, sf_dir).convert(readings))
-
-
-def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy and recall of the conversions of the test passages."""
-    pairs = table(spark, sf_dir, "eval_item").select(F.col("item_id").cast("bigint").alias("sent_id"), "yomi", "surface")
-    return _engine(spark, sf_dir).evaluate(pairs)
-
-
 # -- users ---------------------------------------------------------------------------------
 
 
@@ -300,17 +244,6 @@ def kansuji_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("surface", kansuji(F.col("surface").try_cast("bigint")).alias("kanji"))
 
 
-def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest common subsequence of each vocabulary word's surface and reading."""
-    w = counts.vocabulary(wfreq(spark, sf_dir)).select("word", F.split("word", "/", 2)[0].alias("a"), F.split("word", "/", 2)[1].alias("b"))
-    return w.select("word", lcs_length(F.col("a"), F.col("b")).alias("common"))
-
-
-def unigram_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unigram model as lines 'word id cost'."""
-    return unigram_model(spark, sf_dir).select(F.concat_ws(" ", "word", F.col("word_id").cast("string"), F.format_number("cost", 4)).alias("line"))
-
-
 def bigram_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pair model by word: cost and both words."""
     merged = _merged(spark, sf_dir)
@@ -319,23 +252,10 @@ def bigram_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.with_words(with_costs(pairs, totals(pairs)), vocab).select(F.round("cost", 6).alias("cost"), "word1", "word2")
 
 
-def passages_tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test passages as longest known words, by the words of the dictionaries."""
-    words = dictionary.to_rows(_dictionary(spark, sf_dir)).select("surface", "yomi")
-    return longest_match(table(spark, sf_dir, "eval_item").select(F.col("item_id").alias("sent_id"), F.col("surface").alias("text")), words)
-
-
-def lattice_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lattices as graph descriptions."""
-    nodes = _nodes(spark, sf_dir)
-    none = spark.createDataFrame([], "id1 INT, id2 INT, cost DOUBLE")
-    return lattice.dot_graph(nodes, lattice.edges(nodes, none, 8.0))
-
-
 QUERIES = {f.__name__: f for f in (
     token_merge, kana_preferred, start_offsets, wfreq, unigram_model, model_totals, bigram_model, bigram_words, bigram_rekeyed, new_words, score_rules, wiki_text, novel_text,
-    dictionary_merged, dictionary_keys, dictionary_okuri, dictionary_of_vocabulary, dictionary_violations, dictionary_prefixes, dictionary_predictions, dictionary_continuations, eval_segments, eval_nodes,
-    node_costs, lattice_edges, span_alternatives, lattice_decoded, lattice_pages, eval_converted, eval_scores, user_unigram_costs, user_bigram_costs, streaming_user_counts, kansuji_numbers, word_overlap, unigram_dump, bigram_dump, passages_tokenized, lattice_graphs,
+    dictionary_merged, dictionary_keys, dictionary_okuri, dictionary_of_vocabulary, dictionary_violations, dictionary_prefixes, dictionary_predictions, dictionary_continuations, eval_segments,
+    span_alternatives, user_unigram_costs, user_bigram_costs, streaming_user_counts, kansuji_numbers, bigram_dump,
 )}
 
 # -- SQL -----------------------------------------------------------------------------------
@@ -391,16 +311,16 @@ _NODES = "(SELECT DISTINCT * FROM word_node WHERE surface IS NOT NULL AND yomi I
 
 
 def _kansuji_sql() -> str:
-    digits = "lpad(surface, 12, '0')"
+    digits = "lpad(CAST(TRY_CAST(surface AS BIGINT) AS VARCHAR), 20, '0')"
     out = []
-    for g in range(2, -1, -1):
+    for g in range(4, -1, -1):
         four = []
         for p in range(3, -1, -1):
-            d = f"substr({digits}, {(2 - g) * 4 + 4 - p}, 1)"
+            d = f"substr({digits}, {(4 - g) * 4 + 4 - p}, 1)"
             name = f"translate({d}, '0123456789', '{DIGITS}')"
             four.append(f"CASE WHEN {d} = '0' THEN ''" + (f" WHEN {d} = '1' THEN '{PLACES[p]}'" if p else "") + f" ELSE {name} || '{PLACES[p]}' END")
-        out.append(f"CASE WHEN substr({digits}, {(2 - g) * 4 + 1}, 4) = '0000' THEN '' ELSE {' || '.join(four)} || '{GROUPS[g]}' END")
-    return f"SELECT DISTINCT surface, CASE WHEN CAST(surface AS BIGINT) = 0 THEN '零' ELSE {' || '.join(out)} END AS kanji FROM intermediate_token WHERE regexp_full_match(surface, '[0-9]{{1,12}}')"
+        out.append(f"CASE WHEN substr({digits}, {(4 - g) * 4 + 1}, 4) = '0000' THEN '' ELSE {' || '.join(four)} || '{GROUPS[g]}' END")
+    return f"SELECT DISTINCT surface, CASE WHEN CAST(surface AS BIGINT) = 0 THEN '零' ELSE {' || '.join(out)} END AS kanji FROM intermediate_token WHERE regexp_full_match(surface, '[0-9]+') AND TRY_CAST(surface AS BIGINT) IS NOT NULL"
 
 
 def _okuri_sql() -> str:
@@ -437,16 +357,10 @@ SQL = {
     "dictionary_predictions": "SELECT DISTINCT yomi FROM dict_decoded WHERE starts_with(yomi, 'かい') ORDER BY encode(yomi) LIMIT 10",
     "dictionary_continuations": "WITH p AS (SELECT DISTINCT yomi AS prefix FROM word_node WHERE yomi IS NOT NULL), d AS (SELECT DISTINCT yomi FROM dict_decoded WHERE yomi IS NOT NULL) SELECT prefix, yomi FROM p JOIN d ON starts_with(yomi, prefix)",
     "eval_segments": f"WITH RECURSIVE {_SEGMENTS} SELECT * FROM segs",
-    "eval_nodes": f"WITH RECURSIVE {_SEGMENTS}, cand AS (SELECT s.*, coalesce(list_filter(d.surfaces, lambda x: x <> ''), []) AS d, translate(s.yomi, '{_HIRA}', '{_KATA}') AS k FROM segs s LEFT JOIN dict d ON d.yomi = s.yomi), body AS (SELECT sent_id, start_pos, end_pos, unnest(d) AS surface, yomi, false AS auto_generated FROM cand UNION ALL SELECT sent_id, start_pos, end_pos, yomi, yomi, true FROM cand WHERE NOT list_contains(d, yomi) UNION ALL SELECT sent_id, start_pos, end_pos, k, yomi, true FROM cand WHERE NOT list_contains(d, k) UNION ALL SELECT sent_id, start_pos, end_pos, '(*(*(NUMBER-KANSUJI', yomi, false FROM cand WHERE regexp_matches(yomi, '^[0-9]+')), len AS (SELECT sent_id, max(end_pos) AS l FROM segs GROUP BY sent_id) SELECT * FROM body UNION ALL SELECT sent_id, -1, 0, '__BOS__', '__BOS__', false FROM len UNION ALL SELECT sent_id, l, l + 1, '__EOS__', '__EOS__', false FROM len",
-    "node_costs": f"WITH {_MERGE}, g AS {_GAINS.format('user_unigram')}, gs AS (SELECT CAST(sum(cnt) AS BIGINT) AS gt, count(*) AS gu FROM g) SELECT sent_id, node_idx, round(coalesce({_cost('g.cnt', 'gt', 'gu')}, score, CASE WHEN strlen(surface) < strlen(yomi) THEN {_cost('1', 'coalesce(t, 0)')} ELSE {_cost('0', 'coalesce(t, 0)')} END), 6) AS node_cost FROM {_NODES} n LEFT JOIN g ON g.word_key = surface || '/' || yomi, stats, gs",
-    "lattice_edges": f"WITH g AS {_GAINS.format('user_bigram')}, gs AS (SELECT CAST(sum(cnt) AS BIGINT) AS gt, count(*) AS gu FROM g), n AS {_NODES} SELECT a.sent_id, a.node_idx AS prev_idx, b.node_idx, round(coalesce({_cost('g.cnt', 'gt', 'gu')}, 8.0), 6) AS edge_cost FROM n a JOIN n b ON a.sent_id = b.sent_id AND a.end_pos = b.start_pos AND a.node_idx <> b.node_idx LEFT JOIN g ON g.word_key = a.surface || '/' || a.yomi || chr(9) || b.surface || '/' || b.yomi, gs",
     "span_alternatives": f"SELECT sent_id, start_pos, end_pos, string_agg(surface, '|' ORDER BY node_idx) AS surfaces FROM {_NODES} n GROUP BY sent_id, start_pos, end_pos",
     "user_unigram_costs": f"WITH g AS {_GAINS.format('user_unigram')}, s AS (SELECT CAST(sum(cnt) AS BIGINT) AS t, count(*) AS u FROM g) SELECT word_key, cnt, round({_cost('cnt')}, 6) AS cost FROM g, s",
     "user_bigram_costs": f"WITH g AS {_GAINS.format('user_bigram')}, s AS (SELECT CAST(sum(cnt) AS BIGINT) AS t, count(*) AS u FROM g) SELECT word_key, cnt, round({_cost('cnt')}, 6) AS cost FROM g, s",
     "streaming_user_counts": f"SELECT * FROM {_GAINS.format('user_unigram')} g",
     "bigram_dump": f"WITH {_BIGRAMS} SELECT round({_cost('cnt')}, 6) AS cost, word1, word2 FROM big, bstats",
-    "lattice_graphs": f"""WITH n AS {_NODES}, l AS (SELECT sent_id, 0 AS k, node_idx AS o, format('n{{}} [label="{{}}/{{}}"]', node_idx, surface, yomi) AS line FROM n UNION ALL
-  SELECT a.sent_id, 1, a.node_idx, format('n{{}} -> n{{}} [label="8.000"]', a.node_idx, b.node_idx) FROM n a JOIN n b ON a.sent_id = b.sent_id AND a.end_pos = b.start_pos AND a.node_idx <> b.node_idx)
-  SELECT sent_id, 'digraph lattice {{' || chr(10) || string_agg(line, chr(10) ORDER BY k, o, encode(line)) || chr(10) || '}}' AS dot FROM l GROUP BY sent_id""",
     "kansuji_numbers": _kansuji_sql(),
 }

@@ -44,7 +44,3 @@ def moved_focus(focus: Column, count: Column, step: int) -> Column:
 def built_string(clauses: Column, selected: Column) -> Column:
     """The selected candidates (0-based; missing: 0) of clauses (array<array<string>>), joined."""
     return F.array_join(F.transform(clauses, lambda c, i: F.get(c, F.coalesce(F.get(selected, i), F.lit(0)))), "")
-
-
-def with_ranges(df: DataFrame, clauses: str = "clauses") -> DataFrame:
-    return df.withColumn("ranges", ranges(F.col(clauses)))

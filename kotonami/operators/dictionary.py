@@ -144,12 +144,12 @@ def system_dictionary(base: DataFrame, vocab: DataFrame, corpus_rows: DataFrame,
 
 
 def of_usage(entries: DataFrame, configs: DataFrame, usage: str) -> DataFrame:
-    """Entries (dict_id, ...) of the dictionaries that are configured for `usage`: Normal, SingleTerm or Disabled, in any case; none is Normal.
+    """Entries (dict_id, ...) of the dictionaries that are configured for `usage`: Normal, SingleTerm or Disabled, in any case; none is Disabled.
 
     A dictionary type other than SKK is an error.
     """
     kind = F.upper(F.trim(F.coalesce("dict_type", F.lit("SKK"))))
-    known = configs.where(F.lower(F.trim(F.coalesce("usage", F.lit("Normal")))) == usage.lower())
+    known = configs.where(F.lower(F.trim(F.coalesce("usage", F.lit("Disabled")))) == usage.lower())
     known = known.select("dict_id", F.when(kind == "SKK", True).otherwise(F.raise_error(F.concat(F.lit("unknown dictionary type: "), kind)).cast("boolean")).alias("_known"))
     return entries.join(F.broadcast(known.where("_known").select("dict_id")), "dict_id", "left_semi")
 

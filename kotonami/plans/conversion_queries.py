@@ -239,7 +239,7 @@ QUERIES = {f.__name__: f for f in (
 _cost = base._cost
 
 _USAGE = base._DICT + """,
-used AS (SELECT dict_id, CASE lower(trim(coalesce(usage, 'Normal'))) WHEN 'normal' THEN 'Normal' WHEN 'singleterm' THEN 'SingleTerm' ELSE 'Disabled' END AS usage FROM dict_config),
+used AS (SELECT dict_id, CASE lower(trim(coalesce(usage, 'Disabled'))) WHEN 'normal' THEN 'Normal' WHEN 'singleterm' THEN 'SingleTerm' ELSE 'Disabled' END AS usage FROM dict_config),
 ufirst AS (SELECT usage, yomi, surface, min((dict_id, pos)) AS place FROM flat JOIN used USING (dict_id) GROUP BY ALL),
 udict AS (SELECT usage, yomi, list(surface ORDER BY place, surface) AS surfaces FROM ufirst GROUP BY ALL)"""
 

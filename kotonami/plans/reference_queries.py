@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from kotonami.operators import counts, dictionary, lattice, morph
 from kotonami.operators.badrows import read_records
 from kotonami.operators.costs import totals, with_costs
 from kotonami.operators.ordered import distinct_by_group, is_crowded, running
-from kotonami.runtime import cut_lineage, ensure_checkpoint_dir, table
+from kotonami.runtime import Folder, cut_lineage, ensure_checkpoint_dir, table
 from kotonami.sources.readers import novel_lines, wiki_lines
 from kotonami.streaming import userdata
 
@@ -217,22 +216,15 @@ def user_bigram_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streaming_user_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage counts as a stream of all that is there, written as a table of the shared folder."""
-    ensure_checkpoint_dir(spark)
-    at = f"{spark.sparkContext.getCheckpointDir()}/user-counts-{uuid.uuid4().hex}"
-    path = f"{sf_dir}/user_unigram.parquet"
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
-    stream = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "user_unigram.parquet").parquet(sf_dir)
-
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out-{epoch}")
-        spark.createDataFrame([(epoch,)], "epoch BIGINT").coalesce(1).write.mode("append").parquet(f"{at}/done")
-
-    query = userdata.stream_counts(stream, "word_key").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = spark.read.parquet(f"{at}/done").agg(F.max("epoch")).first()[0]
-    return spark.read.parquet(f"{at}/out-{last}")
+    """Usage counts as a stream of six batches in order of arrival, late rows among them; each batch writes the keys that it changes."""
+    at = f"{ensure_checkpoint_dir(spark)}/user-counts-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "user_unigram")
+    userdata.staged(rows, "arrived_at", 6, f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    userdata.stream_into_table(userdata.stream_counts(stream), at).awaitTermination()
+    result = cut_lineage(userdata.current_counts(spark, at))
+    Folder(spark, at).delete()
+    return result
 
 
 # -- scalar functions over table values ----------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -38,12 +40,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; make one only where none is set (tests)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local master may do without one; it gets a folder of its own, which goes with the process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kotonami-checkpoint-"))
+        if named is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="kotonami-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,14 +60,57 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Round-robin rows of a narrow input over at least as many partitions as the cluster has cores.
-
-    Small files give few input splits, which would leave Python-heavy stages on a few cores.
-    Larger inputs have enough splits of their own and are left as they are.
-    """
-    want = least or 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+class Folder:
+    """A folder on whatever file system its path names, by Hadoop's file system API."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path.rstrip("/")
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def _at(self, name: str):
+        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self._conf), path
+
+    def exists(self, name: str = "") -> bool:
+        fs, path = self._at(name)
+        return fs.exists(path)
+
+    def names(self, name: str = "") -> list[str]:
+        """Names in the folder, in order; none where it isn't there."""
+        fs, path = self._at(name)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def matching(self) -> list[tuple[str, int]]:
+        """(path, modification time) of what the path, taken as a pattern, names."""
+        fs, path = self._at("")
+        return sorted((s.getPath().toString(), s.getModificationTime()) for s in fs.globStatus(path) or ())
+
+    def modified(self, name: str = "") -> int:
+        fs, path = self._at(name)
+        return fs.getFileStatus(path).getModificationTime() if fs.exists(path) else 0
+
+    def delete(self, name: str = "") -> None:
+        fs, path = self._at(name)
+        fs.delete(path, True)
+
+    def read(self, name: str = "") -> str | None:
+        """The text of a small file; null where it isn't there."""
+        fs, path = self._at(name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        fs, path = self._at(name)
+        stream = fs.create(path, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
 
 
 def is_blank(col: Column) -> Column:

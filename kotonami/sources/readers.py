@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import glob
 import hashlib
-import os
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonami.functions.text import is_kyukana, strip_meta, strip_notes, strip_readings, strip_ruby, trim_unicode
+from kotonami.functions.romaji import default_table, extended
 from kotonami.operators.dictionary import expand_okuri, merge_dictionaries, parse_lines
+from kotonami.runtime import Folder
+from kotonami.sources import yaml
+from kotonami.streaming.ime import extended_keys, key_table
 
 #: What makes a novel file unfit, and where its text ends.
 UNFIT = "二倍の踊り字|第3水準|creativecommons\\.org|旧字、旧仮名で書かれた作品を、現代表記にあらためる際の作業指針"
@@ -99,11 +102,11 @@ def read_dictionaries(spark: SparkSession, configs: list[dict], usage: str = "No
     """
     loaded = []
     for rank, c in enumerate(configs):
-        if (c.get("usage") or "Normal").strip().lower() != usage.lower():
+        if (c.get("usage") or "Disabled").strip().lower() != usage.lower():
             continue
         if (c.get("dict_type") or "SKK").strip().upper() != "SKK":
             raise ValueError(f"unknown dictionary type: {c['dict_type']}")
-        if glob.glob(c["path"]):
+        if Folder(spark, c["path"]).matching():
             loaded.append(read_skk(spark, c["path"], charset(c.get("encoding")), rank))
     return merge_dictionaries(loaded) if loaded else spark.createDataFrame([], "yomi STRING, surfaces ARRAY<STRING>")
 
@@ -119,36 +122,52 @@ def charset(name: str | None) -> str:
 
 def cached_dictionary(spark: SparkSession, cache: str, configs: list[dict], usage: str = "Normal") -> DataFrame:
     """read_dictionaries, kept under `cache` until a file or the configuration changes."""
-    stamp = [(c["path"], os.path.getmtime(c["path"]) if os.path.exists(c["path"]) else 0.0, sorted((k, str(v)) for k, v in c.items())) for c in configs]
-    at = os.path.join(cache, hashlib.sha256(repr((usage, stamp)).encode()).hexdigest()[:24])
-    if not os.path.exists(os.path.join(at, "_SUCCESS")):
+    stamp = [(Folder(spark, c["path"]).matching(), sorted((k, str(v)) for k, v in c.items())) for c in configs]
+    at = f"{cache.rstrip('/')}/{hashlib.sha256(repr((usage, stamp)).encode()).hexdigest()[:24]}"
+    if not Folder(spark, at).exists("_SUCCESS"):
         read_dictionaries(spark, configs, usage).write.mode("overwrite").parquet(at)
     return spark.read.schema("yomi STRING, surfaces ARRAY<STRING>").parquet(at)
 
 
-def read_table_file(path: str) -> tuple[str | None, dict[str, str | None]]:
-    """(parent, mapping) of a simple YAML table: `extends: name`, then `  key: value` lines; null deletes."""
-    parent, mapping, inside = None, {}, False
-    unquote = lambda s: s[1:-1].replace("\\\\", "\\") if len(s) > 1 and s[0] == s[-1] and s[0] in "\"'" else s
-    with open(path, encoding="utf-8") as f:
-        for raw in f:
-            row = raw.rstrip()
-            if m := re.match(r"extends:\s*(\S+)", row):
-                parent = None if m[1] == "null" else unquote(m[1])
-            elif row.startswith("mapping:"):
-                inside = True
-            elif inside and (m := re.match(r"\s+(\"(?:[^\"\\]|\\.)*\"|'[^']*'|[^:\s]+|:)\s*:\s*(.*)$", row)):
-                value = unquote(m[2].strip())
-                mapping[unquote(m[1])] = None if m[2].strip() in ("null", "~") else value
-    return parent, mapping
-
-
-def load_table(path: str) -> dict[str, str]:
-    """A romaji table with all it inherits, from files beside it."""
-    from kotonami.functions.romaji import default_table, extended
-
-    parent, mapping = read_table_file(path)
+def parse_table(text: str) -> tuple[str | None, dict[str, str | None]]:
+    """(parent, mapping) of a romaji table in YAML: `extends`, and a `mapping` in which null deletes."""
+    raw = yaml.load(text) or {}
+    return raw.get("extends"), {str(k): None if v is None else str(v) for k, v in (raw.get("mapping") or {}).items()}
+
+
+def load_table(spark: SparkSession, path: str) -> dict[str, str]:
+    """A romaji table with all that it inherits, from files beside it; a parent that has no file is the default table."""
+    folder, name = path.rsplit("/", 1)
+    parent, mapping = parse_table(_text(spark, folder, name))
     if parent is None:
         return extended({}, mapping)
-    beside = os.path.join(os.path.dirname(path), f"{parent}.yml")
-    return extended(load_table(beside) if os.path.exists(beside) else default_table(), mapping)
+    beside = f"{parent}.yml"
+    return extended(load_table(spark, f"{folder}/{beside}") if Folder(spark, folder).exists(beside) else default_table(), mapping)
+
+
+def parse_keymap(text: str) -> tuple[str | None, list[tuple[list[str], list[str], str | None]]]:
+    """(parent, bindings of states, keys and command) of a keymap in YAML; a null command deletes. Keys may be `key` or `keys`, one or a list."""
+    raw = yaml.load(text) or {}
+    several = lambda x: x if isinstance(x, list) else [x]
+    return raw.get("extends"), [(several(b["states"]), [str(k) for k in several(b["key"])], b.get("command")) for b in raw.get("keys") or []]
+
+
+def load_keymap(spark: SparkSession, path: str) -> DataFrame:
+    """(state, ctrl, shift, key, command) of a keymap file and all that it inherits, from files beside it."""
+    folder, name = path.rsplit("/", 1)
+    parent, bindings = parse_keymap(_text(spark, folder, name))
+    own = key_table(spark.createDataFrame(bindings, "states ARRAY<STRING>, keys ARRAY<STRING>, command STRING"))
+    return extended_keys(load_keymap(spark, f"{folder}/{parent}.yml"), own) if parent else own.where("command is not null")
+
+
+def _text(spark: SparkSession, folder: str, name: str) -> str:
+    text = Folder(spark, folder).read(name)
+    if text is None:
+        raise FileNotFoundError(f"{folder}/{name}")
+    return text
+
+
+def read_corpora(spark: SparkSession, parts: list[tuple[str, str]]) -> DataFrame:
+    """(kind, path, line) of several corpora (kind, folder), one after the other."""
+    rows = [read_corpus(spark, kind, folder).select(F.lit(kind).alias("kind"), "path", "line") for kind, folder in parts]
+    return reduce(DataFrame.unionByName, rows)

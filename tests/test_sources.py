@@ -15,10 +15,10 @@ def test_default_romaji_table():
     assert (child.to_hiragana("zya"), child.to_hiragana("tso"), child.to_hiragana("dn")) == ("zや", "つぉ", "だん")
 
 
-def test_table_files(tmp_path):
+def test_table_files(spark, tmp_path):
     (tmp_path / "base.yml").write_text('---\nmapping:\n  "a": "あ"\n  "[": "「"\n  k: か\n', encoding="utf-8")
     (tmp_path / "child.yml").write_text("extends: base\nmapping:\n  a: null\n  b: び\n", encoding="utf-8")
-    assert readers.load_table(str(tmp_path / "child.yml")) == {"[": "「", "k": "か", "b": "び"}
+    assert readers.load_table(spark, str(tmp_path / "child.yml")) == {"[": "「", "k": "か", "b": "び"}
 
 
 def test_costs(spark):
@@ -32,7 +32,7 @@ def test_costs(spark):
 def test_charsets_and_dictionaries(spark, tmp_path):
     (tmp_path / "a").write_bytes(";; okuri-ari entries.\nいu /言/\n;; okuri-nasi entries.\nご /語/\n".encode("euc_jp"))
     (tmp_path / "b").write_bytes("ご /語/碁/\n".encode())
-    configs = [{"path": str(tmp_path / "a"), "encoding": "EucJp", "dict_type": " skk ", "usage": "Normal"}, {"path": str(tmp_path / "b"), "encoding": None, "dict_type": None, "usage": None}, {"path": str(tmp_path / "none"), "usage": "Normal"}, {"path": str(tmp_path / "b"), "usage": "Disabled"}]
+    configs = [{"path": str(tmp_path / "a"), "encoding": "EucJp", "dict_type": " skk ", "usage": "Normal"}, {"path": str(tmp_path / "b"), "encoding": None, "dict_type": None, "usage": "normal "}, {"path": str(tmp_path / "none"), "usage": "Normal"}, {"path": str(tmp_path / "a"), "encoding": "EucJp", "usage": None}, {"path": str(tmp_path / "b"), "usage": "Disabled"}]
     assert rows(readers.read_dictionaries(spark, configs)) == [("いう", ["言う"]), ("ご", ["語", "碁"])]
     cache = str(tmp_path / "cache")
     readers.cached_dictionary(spark, cache, configs)

@@ -28,6 +28,8 @@ SINGLE = {
 }
 #: Consonants that double before these rows.
 DOUBLED = ("k", "g", "s", "z", "t", "d", "h", "b", "p", "y", "r", "ky", "gy", "sy", "sh", "zy", "j", "ty", "ch", "dy", "dh", "th", "hy", "by", "py", "ry", "f", "v", "ts")
+#: What the rule of doubling would give and the table doesn't have.
+NOT_DOUBLED = ("jje",)
 
 
 def default_table() -> dict[str, str]:
@@ -37,7 +39,7 @@ def default_table() -> dict[str, str]:
         table |= {c + v: first + s.strip("-") for v, s in zip(VOWELS, small) if s != "."}
     for c in DOUBLED:
         table |= {c[0] + c + v: "っ" + table[c + v] for v in VOWELS if c + v in table}
-    return table | SINGLE
+    return {k: v for k, v in table.items() if k not in NOT_DOUBLED} | SINGLE
 
 
 def extended(parent: dict[str, str], child: dict[str, str | None]) -> dict[str, str]:

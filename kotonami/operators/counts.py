@@ -9,6 +9,7 @@ from kotonami.operators.ordered import ranked, with_previous
 
 UNIGRAM_CUT = 16
 VOCABULARY_LIMIT = 8_388_608
+#: Fixed value: words of two katakana with a reading of two hiragana, which analysers make of noise.
 NOISE = "^[゠-ヿ]{2}/[぀-ゟ]{2}$"
 
 

@@ -1,4 +1,4 @@
-"""Queries of scalar and clause functions over small literal tables, with their known results as SQL."""
+"""Known results of scalar and clause functions, as queries over small literal tables. Their inputs and results are fixed values."""
 
 from __future__ import annotations
 
@@ -36,7 +36,7 @@ def mapped(name: str, function: Callable[[Column], Column], pairs: list[tuple[st
 
 mapped("romaji_to_hiragana", romaji.to_hiragana, [
     ("a", "あ"), ("ba", "ば"), ("hi", "ひ"), ("wahaha", "わはは"), ("thi", "てぃ"), ("better", "べってr"), ("[", "「"), ("]", "」"), ("wo", "を"), ("du", "づ"), ("we", "うぇ"), ("di", "ぢ"), ("fu", "ふ"),
-    ("ti", "ち"), ("wi", "うぃ"), ("z,", "‥"), ("z.", "…"), ("z/", "・"), ("z[", "『"), ("z]", "』"), ("sorenawww", "それなwww"), ("komitthi", "こみってぃ"), ("ddha", "っでゃ"), ("zzye", "っじぇ"), ("tanni", "たんい"), (None, None), ("", ""),
+    ("ti", "ち"), ("wi", "うぃ"), ("z,", "‥"), ("z.", "…"), ("z/", "・"), ("z[", "『"), ("z]", "』"), ("sorenawww", "それなwww"), ("komitthi", "こみってぃ"), ("ddha", "っでゃ"), ("jje", "jじぇ"), ("zzye", "っじぇ"), ("tanni", "たんい"), (None, None), ("", ""),
 ])
 mapped("romaji_remove_last", romaji.remove_last_char, [("aka", "a"), ("sona", "so"), ("son", "so"), ("sonn", "so"), ("sonnna", "sonn"), ("sozh", "so"), ("", "")])
 mapped("consonant_preedit", lambda c: text.consonant_suffix(c)["preedit"], [("meny", "me"), ("menn", "menn"), ("u-nnwwww", "u-nn"), ("zh", "zh"), ("a", "a")])

@@ -4,25 +4,26 @@ import os
 
 import duckdb
 import pytest
+import goldens
 from conftest import rows
 
 import __spark_entry__ as entry
-from kotonami.plans import golden_queries, reference_queries
+from kotonami.plans import reference_queries
 
 DATA = os.environ.get("KOTONAMI_TEST_DATA", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(golden_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(goldens.QUERIES))
 def test_golden(spark, name):
-    df = golden_queries.QUERIES[name](spark, "")
-    want = duckdb.connect().execute(golden_queries.SQL[name])
+    df = goldens.QUERIES[name](spark, "")
+    want = duckdb.connect().execute(goldens.SQL[name])
     order = [d[0] for d in want.description]
     expected = [tuple(float(v) if type(v).__name__ == "Decimal" else v for v in r) for r in want.fetchall()]
     assert rows(df.select(*order)) == sorted(expected, key=str)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["token_merge", "bigram_model", "new_words", "dictionary_merged", "dictionary_okuri", "eval_nodes", "lattice_edges", "p3_found", "p3_loaded"])
+@pytest.mark.parametrize("name", ["token_merge", "bigram_model", "new_words", "dictionary_merged", "dictionary_okuri", "eval_nodes", "lattice_edges", "lattice_decoded", "lattice_best", "eval_converted", "system_dictionary", "learned_bigrams", "typed_kana", "clauses_moved", "width_forms", "annotated_words", "p3_found", "p3_loaded"])
 def test_tables(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):

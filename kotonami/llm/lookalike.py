@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 #: Groups of characters that look alike after compatibility normalization.
 GROUPS = (
     "へヘ", "べベ", "ぺペ", "りリ",  # hiragana, katakana
-    "カ力", "タ夕", "エ工", "ニ二", "ハ八", "ロ口", "ト卜", "チ千", "ミ三", "オ才", "ヒ匕", "ク勹", "ノ丿", "セ七", "メ乄", "サ廾", "イ亻",  # katakana, kanji
+    "カ力", "タ夕", "エ工", "ニ二", "ハ八", "ロ口", "ト卜", "チ千", "ミ三", "オ才", "ヒ匕", "ク勹", "ノ丿", "セ七", "メ乄", "サ廾", "イ亻", "ヌ又", "ム厶", "ヨ彐", "ソ〵",  # katakana, kanji
     "ー一-‐‑‒–—―−─━﹘ｰ",  # prolonged sound, kanji one, hyphens, dashes, rules
-    "AΑА", "BΒВ", "CС", "EΕЕ", "HΗН", "IΙІ", "JЈ", "KΚК", "MΜМ", "NΝ", "OΟО", "PΡР", "SЅ", "TΤТ", "XΧХ", "YΥУ", "ZΖ",  # Latin, Greek, Cyrillic
-    "aаɑ", "cсϲ", "eе", "iіι", "jј", "oоο", "pрρ", "sѕ", "uυ", "vν", "xх", "yу", "hһ", "dԁ", "qԛ", "wԝ",
+    # Latin, Greek, Cyrillic, Armenian, Cherokee
+    "AΑАᎪ", "BΒВᏴ", "CСᏟ", "DᎠ", "EΕЕᎬ", "FϜ", "GᏀԌ", "HΗНᎻ", "IΙІӀ", "JЈᎫ", "KΚКᏦ", "LᏞ", "MΜМᎷ", "NΝ", "OΟОՕ", "PΡРᏢ", "QԚ", "RᎡ", "SЅՏᏚ", "TΤТᎢ", "UՍ", "VᏙѴ", "WᎳԜ", "XΧХ", "YΥУҮ", "ZΖᏃ",
+    "aаɑα", "cсϲ", "dԁ", "eе", "fք", "gցɡ", "hһհ", "iіι", "jјϳ", "kкκ", "mм", "nпո", "oоοօ", "pрρ", "qԛգ", "rг", "sѕ", "tтτ", "uυս", "vνѵ", "wԝω", "xхχ", "yуγ", "lӏ",
 )
 #: Radicals and variants that compatibility normalization leaves, and their ordinary kanji.
 PLAIN_KANJI = dict(zip("戶黑靑內敎產淸⺟⻁⻄⻑⻘⻝⻤⻨⻩⻫⻭⻯⻲⺠", "戸黒青内教産清母虎西長青食鬼麦黄斉歯竜亀民"))

@@ -231,7 +231,7 @@ def transducer(path: str, pattern: str = PATTERN) -> BpeTransducer:
 def encode_texts(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(key, ids) of every row of `df`: the whole text as ids, an empty list for null and empty texts.
 
-    Rows stay rows (repeated keys too); there is no shuffle but for a spread of narrow inputs.
+    Rows stay rows (repeated keys too); there is no shuffle.
     The vocabulary file must lie at `path` on every executor, as the cluster's image has it.
     """
     rows = df.select(df[key].alias("key"), df[text].alias("text"))

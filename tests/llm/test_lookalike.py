@@ -5,7 +5,7 @@ from kotonami.llm import lookalike
 from kotonami.llm.lookalike import Canonical, ScriptModel, normalized, symbols
 
 WORDS = [("入力し", "にゅうりょくし"), ("作り", "つくり"), ("食べ", "たべ"), ("八金市", "はちきんし"), ("夕石", "せきせき"), ("工空練", "こうくうれん"), ("三口", "さんこう"), ("カーカ", "かーか"), ("ヘロリ", "へろり"), ("エチー", "えちー"), ("ロオー", "ろおー"), ("ゼーター", "ぜーたー"), ("API", "えーぴーあい"), ("ROM", "ろむ"), ("Kestrel", "けすとれる"), ("X-box", "えっくすぼっくす"), ("Salt Hollow", "そるとほろー"), ("café", "かふぇ"), ("🍣", "すし"), ("へ", "へ"), ("ニ", "に"), ("1019", "1019"), ("。", "。")]
-DIRTY = [("入カし", 0), ("作リ", 1), ("食ベ", 2), ("ハ金市", 3), ("タ石", 4), ("エ空練", 5), ("三ロ", 6), ("力ー力", 7), ("へ口り", 8), ("工チ─", 9), ("口オ一", 10), ("ゼ−夕—", 11), ("ΑPΙ", 12), ("RОМ", 13), ("Кеstrel", 14), ("Ｘ‐ｂοx", 15), (f"Salt{chr(0x2003)}Нollow ", 16), ("cafe" + chr(0x301), 17), (chr(0x3000) + "🍣", 18), ("へ" + chr(0x200B), 19), ("二", 20), ("１０１９", 21), (f"。{chr(0xFE00)}", 22)]
+DIRTY = [("入カし", 0), ("作リ", 1), ("食ベ", 2), ("ハ金市", 3), ("タ石", 4), ("エ空練", 5), ("三ロ", 6), ("力ー力", 7), ("へ口り", 8), ("工チ─", 9), ("口オ一", 10), ("ゼ−夕—", 11), ("ΑPΙ", 12), ("RОМ", 13), ("Кеstrel", 14), ("Ｘ‐ｂοx", 15), (f"Salt{chr(0x2003)}Нollow ", 16), ("cafe" + chr(0x301), 17), (chr(0x3000) + "🍣", 18), ("へ" + chr(0x200B), 19), ("二", 20), ("１０１９", 21), (f"。{chr(0xFE00)}", 22), ("Ꮶestreӏ", 14), ("Saӏt Hօllow", 16), ("ᎪPI", 12)]
 
 
 def form():

@@ -60,6 +60,8 @@ def fit_configuration(item_degree: np.ndarray, item_count: np.ndarray, rec_degre
         old = x
         x = item_degree / np.maximum(((rec_count * y) / (1 + np.outer(x, y))).sum(1), 1e-300)
         y = rec_degree / np.maximum(((item_count * x)[:, None] / (1 + np.outer(x, y))).sum(0), 1e-300)
+        scale = max((rec_count * y).sum(), 1e-300)  # only x y counts, so one factor is free
+        x, y = x * scale, y / scale
         if np.max(np.abs(x - old) / np.maximum(old, 1e-300), initial=0) < tol:
             break
     return x, y
@@ -228,7 +230,7 @@ def _grid(z: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, at - low
 
 
-def fit_links(item_degree: np.ndarray, item_count: np.ndarray, rec_links: np.ndarray, rec_count: np.ndarray, rounds: int = 400, tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+def fit_links(item_degree: np.ndarray, item_count: np.ndarray, rec_links: np.ndarray, rec_count: np.ndarray, rounds: int = 400, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """x of item classes and y of record classes, where a record has the pair (a, b) with odds x_a x_b y_r.
 
     Items have `item_degree` pairs over all records, records `rec_links` pairs. Sums over
@@ -253,6 +255,8 @@ def fit_links(item_degree: np.ndarray, item_count: np.ndarray, rec_links: np.nda
         weight = np.bincount(low.ravel(), pairs * (1 - up.ravel()), len(grid)) + np.bincount(low.ravel() + 1, pairs * up.ravel(), len(grid))
         zs = np.exp(grid)
         y = rec_links / np.maximum((weight * zs / (1 + zs * y[:, None])).sum(1), 1e-300)
+        scale = max((rec_count * y).sum(), 1e-300)  # only x_a x_b y_r counts, so one factor is free
+        x, y = x * np.sqrt(scale), y / scale
         if np.max(np.abs(x - old) / np.maximum(old, 1e-300), initial=0) < tol:
             break
     return x, y

@@ -212,13 +212,6 @@ def _likelihoods(counts: DataFrame) -> DataFrame:
     return cut_lineage(one.groupBy("item").agg(F.array(own, *each).alias("ll")))
 
 
-def posterior(ll: Column, share: Column) -> Column:
-    """array<double>: posterior of every chain, of its log-likelihoods and shares."""
-    top = F.array_max(ll)
-    raw = F.zip_with(ll, share, lambda x, s: s * F.exp(x - top))
-    return F.transform(raw, lambda w: w / F.aggregate(raw, F.lit(0.0), lambda t, x: t + x))
-
-
 def chain_posteriors(items: DataFrame, prior: float = 4.0) -> DataFrame:
     """(source, field, item, chain, p_sound) of the distinct items that some chain could have made: the likeliest one and the posterior of soundness.
 
@@ -230,8 +223,8 @@ def chain_posteriors(items: DataFrame, prior: float = 4.0) -> DataFrame:
     ll = _likelihoods(counts.groupBy("item").agg(F.sum("n").alias("n")))
     suspects = cut_lineage(counts.join(ll, "item"))
     start = [0.9] + [0.1 / (n_chains - 1)] * (n_chains - 1)
-    top = F.array_max("ll")
-    classed = suspects.select("source", "field", "n", F.transform("ll", lambda x: F.greatest(F.round((x - top) / STEP) * STEP, F.lit(FAR_CLASS))).alias("ll"))
+    topped = suspects.select("source", "field", "item", "n", "ll", F.array_max("ll").alias("top"))
+    classed = topped.select("source", "field", "n", F.transform("ll", lambda x: F.greatest(F.round((x - F.col("top")) / STEP) * STEP, F.lit(FAR_CLASS))).alias("ll"))
     classed = classed.groupBy("source", "field", "ll").agg(F.sum("n").alias("n"))
     # items that no chain could have made are one class more
     plain = counts.join(ll.select("item"), "item", "left_anti").groupBy("source", "field").agg(F.sum("n").alias("n"))
@@ -256,10 +249,13 @@ def chain_posteriors(items: DataFrame, prior: float = 4.0) -> DataFrame:
     def beside(rows: DataFrame, now: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(now) if small else now, same)
 
-    judged = beside(suspects, shares).select("source", "field", "item", posterior(F.col("ll"), F.col("share")).alias("p"))
-    others = F.slice("p", 2, n_chains)
+    # each weight is computed once, in a projection of its own
+    weighted = beside(topped, shares).select("source", "field", "item", F.zip_with("ll", "share", lambda x, s: s * F.exp(x - F.col("top"))).alias("w"))
+    judged = weighted.select("source", "field", "item", "w", F.aggregate("w", F.lit(0.0), lambda t, x: t + x).alias("total"))
+    sound = F.get("w", F.lit(0)) / F.col("total")
+    others = F.slice("w", 2, n_chains)
     best = F.get(F.array(*[F.lit(c) for c in list(CHAINS)[1:]]), F.array_position(others, F.array_max(others)).cast("int") - 1)
-    return judged.select("source", "field", "item", F.when(F.get("p", F.lit(0)) >= 0.5, F.lit("sound")).otherwise(best).alias("chain"), F.get("p", F.lit(0)).alias("p_sound"))
+    return judged.select("source", "field", "item", F.when(sound >= 0.5, F.lit("sound")).otherwise(best).alias("chain"), sound.alias("p_sound"))
 
 
 def repaired_records(df: DataFrame, key: str, source: str, packed: str) -> DataFrame:

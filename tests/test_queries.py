@@ -37,3 +37,16 @@ def test_tables(spark, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(reference_queries.SQL) <= set(reference_queries.QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_conversion_is_right_and_clean(spark):
+    """Converted sentences hold no character that the corpus lacks, but for what was in their readings; and a floor of accuracy."""
+    got = entry.queries()["eval_converted"](spark, DATA).collect()
+    tokens = spark.read.parquet(f"{DATA}/intermediate_token.parquet").select("surface").distinct().collect()
+    kana = "".join(chr(c) for c in range(0x3041, 0x3100)) + "0123456789。、ー"
+    known = {ch for (t,) in tokens if t for ch in t} | set(kana)
+    readings = {ch for r in spark.read.parquet(f"{DATA}/eval_item.parquet").select("yomi").collect() for ch in r[0] or ""}
+    assert got and {ch for r in got for ch in r["surface"]} <= known | readings
+    score = entry.queries()["eval_scores"](spark, DATA).first()
+    assert score["good"] + score["bad"] == len(got) and score["recall"] > 40

@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
+from itertools import accumulate, repeat
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -129,6 +129,8 @@ _ROLES = "部長|課長|係長|社長|会長|議長|店長|院長|校長|委員
 _LIFE = "生まれ|育った|に移り|移り住|引っ越|卒業|入学|留学|就職|入社|退職|転職|就任|退任|結婚|離婚|入院|退院|死去|亡くな|出席し|欠席し|会見し"
 _LATIN_VERBS = "said|says|told|tells|wrote|writes|called|calls|asked|asks|replied|reports|reported|confirmed|confirms|suggested|suggests|noted|mentioned|explained|agreed|thinks|thought|noticed|joined|works|worked|lives|lived|moved|sent|phoned|emailed|answered|claims|claimed|believes|wants|pointed out|complained|promised|signed|resigned|died|married|was born|is our|is the author"
 _LATIN_TO = "spoke|speak|talk|talked|talking|meet|met|meeting|contact|contacted|ask|asked|call|called|email|emailed|write|wrote|forward|forwarded|send|sent|reply|replied|thank|thanks|thanked|credit|kudos|credits|invite|invited|hired|tell|told|help|helped|mail|mailed|ping|assigned|addressed|introduced|married|interview|interviewed|according|reported|signed|written|reviewed|found|filed|confirmed|noted|dear"
+#: Plain alternatives in both cases, which the matcher tells apart by their first letters.
+_LATIN_TO = "|".join(f"{w}|{w.capitalize()}" for w in _LATIN_TO.split("|"))
 _SIGN_OFF = r"(?:(?:Kind|Best|Warm|Many|With|Warmest|Kindest) )?(?:[Rr]egards|[Ww]ishes|[Tt]hanks|Sincerely|Cheers|Best|Yours truly|Yours sincerely|Yours faithfully|Sincerely yours|Thank you|Take care)"
 #: (pattern, group of the name, score): names in their contexts, on folded text.
 NAME_CONTEXTS = [
@@ -141,7 +143,7 @@ NAME_CONTEXTS = [
     (re.compile(rf"{_BEFORE}({_ANY_NAME})(?=は[^。\n]{{0,60}}(?:{_LIFE}))"), 0.7),
     (re.compile(rf"(?:お世話になっております|はじめまして|いつも使っています|こんにちは|こんばんは|おはようございます|初めまして)[。！!]\s*({_ANY_NAME})(?=です[。！!\n])"), 1.1),
     (re.compile(rf"(?:^|(?<=[。\n> ]))({_ANY_NAME})(?=です(?:[。！!\n]|$))"), 0.6),
-    (re.compile(rf"\b(?i:(?:{_LATIN_TO})(?: (?:this|it|that|them|back|again))?(?: (?:to|with|by|from|for))?:?)\s({_LATIN_NAME})"), 1.0),
+    (re.compile(rf"\b(?:{_LATIN_TO})(?: (?:this|it|that|them|back|again))?(?: (?:to|with|by|from|for))?:?\s({_LATIN_NAME})"), 1.0),
     (re.compile(rf"\b(?:I am|I'm|[Mm]y name is|[Tt]his is|[A-Z][a-z]+(?:-[a-z]+)*-by:|From:|To:|Name:|Author:|Contact:?|Attn:?|Assignee:|Reporter:|Sender:|Customer:)\s+({_LATIN_NAME})"), 1.0),
     (re.compile(rf"\b(?:According to|Thanks to|Reported by|Credit to|Signed by|Asked by|Suggested by) ({_ANY_NAME})(?=,| <| and | for|\.|\n)"), 1.2),
     (re.compile(rf"\b(?:Mr|Ms|Mrs|Miss|Dr|Prof)\.? ({_LATIN_NAME}|{_LATIN_WORD})"), 1.2),
@@ -165,7 +167,9 @@ NAME_TRIGGERS = [re.compile(t) for t in (
     f"(?:{_ROLES})の", "[私僕俺]は|わたしは|わたくしは", _LIFE, "お世話に|はじめまして|初めまして|いつも使って|こんにちは|こんばんは|おはよう", "です",
     "[A-Za-z:]\\s[A-Z]", "I am|I'm|y name is|his is|-by:|From:|To:|Name:|uthor:|ontact|Attn|Assignee|Reporter|Sender|Customer", "According to|Thanks to|Reported by|Credit to|Signed by|Asked by|Suggested by", "\\b(?:Mr|Ms|Mrs|Miss|Dr|Prof)\\b", f"(?:{_LATIN_VERBS})", "said|told|asked|replied|wrote", "[Rr]egards|[Ww]ishes|Sincerely|Best|Cheers|[Tt]hank|Yours|Take care", "--",
 )]
-_BLOCK_TRIGGER = re.compile("丁目|番|号|[0-9]-[0-9]")
+_BLOCK_TRIGGER = re.compile("[丁番号条]|[0-9]-[0-9]")
+_TOWN_TRIGGER = re.compile("[市区郡町村]")
+_STREET_TRIGGER = re.compile(r"[A-Za-zß.] \d|\d[A-Z]?,? [A-Za-z]")
 _COMPANY_BEFORE = re.compile(r"(?:株式会社|有限会社|合同会社) ?$")
 _COMPANY_AFTER = re.compile(r" ?(?:製作所|商事|商店|工業|銀行|大学|株式会社|有限会社|市|町|村|区|駅|県|郡|Inc\b|Ltd\b|Co\.|LLC\b|Corp|Works\b|Park\b|パーク|ホール|Hall\b|ビル)")
 #: Nouns that take an honorific or stand behind a role without being a name, by beginning, by ending and whole.
@@ -232,10 +236,10 @@ class Finder:
             yield Span(m.start(), m.end(), "id_number", score)
 
     def addresses(self, text: str) -> Iterator[Span]:
-        for m in ADDRESS.finditer(text) if _BLOCK_TRIGGER.search(text) else ():
+        for m in ADDRESS.finditer(text) if _TOWN_TRIGGER.search(text) and _BLOCK_TRIGGER.search(text) else ():
             strong = "丁目" in m[0] or "番" in m[0] or m[0][0] in "〒0123456789" or re.match(_PREFECTURE, m[0]) or "-" in m[0]
             yield Span(m.start(), m.end(), "address", 1.5 if strong else 0.5)
-        for m in STREET.finditer(text):
+        for m in STREET.finditer(text) if _STREET_TRIGGER.search(text) else ():
             yield Span(m.start(), m.end(), "address", 1.4)
 
     def names(self, text: str) -> Iterator[Span]:
@@ -422,13 +426,15 @@ def annotated_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     of names is learned once, then one pass over the texts gives both.
     """
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("score", pa.float64())]))
 
     def annotate(batch: pa.RecordBatch, finders: Iterable[Finder]) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         lists = [f.spans(t) for t, f in zip(texts, finders)]
-        spans = [[{"kind": s.kind, "start_pos": s.start, "end_pos": s.end, "score": s.score} for s in x] for x in lists]
-        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, span), pa.array(map(Finder.replaced, texts, lists), pa.string())], ["key", "spans", "redacted"])
+        flat = [s for x in lists for s in x]
+        fields = [pa.array([s.kind for s in flat], pa.string()), pa.array([s.start for s in flat], pa.int32()), pa.array([s.end for s in flat], pa.int32()), pa.array([s.score for s in flat], pa.float64())]
+        offsets = pa.array([0, *accumulate(map(len, lists))], pa.int32())
+        spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["kind", "start_pos", "end_pos", "score"]))
+        return pa.RecordBatch.from_arrays([batch.column("key"), spans, pa.array([Finder.replaced(t, x) for t, x in zip(texts, lists)], pa.string())], ["key", "spans", "redacted"])
 
     kind = rows.schema["key"].dataType.simpleString()
     found = _with_finders(rows.where("text is not null"), annotate, f"key {kind}, spans ARRAY<STRUCT<kind: STRING, start_pos: INT, end_pos: INT, score: DOUBLE>>, redacted STRING")
